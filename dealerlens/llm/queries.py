@@ -8,9 +8,12 @@ from collections.abc import Callable
 #: Query -> module that holds it.
 MODULES = {
     "op1_best_fit_packing": "packing",
+    "op2_document_fingerprints": "fingerprint",
     "op3_source_mixing": "mixing",
+    "op4_secret_scans": "secrets",
     "op7_toxicity": "toxicity",
     "op8_exact_top_k": "topk",
+    "op9_minhash_near_dedup": "near_dup",
     "op10_url_filters": "url_filter",
 }
 

@@ -1,6 +1,6 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, in DataFrame functions.
 
-A text is cut behind every line end and sentence end into paragraphs that keep their
+A text is cut behind every line end, sentence end and clause end into paragraphs that keep their
 separators, so that they add up to the text.  A paragraph's node is its SHA-256; a section
 is a run of paragraphs that ends where a node's first hex digit is 0 or 1 (content decides
 the cuts, so an edit moves no cut outside its own section); a section's node is the SHA-256
@@ -30,7 +30,7 @@ from ._util import small_or_shuffled, table
 BUCKET_ROWS = 1000
 #: Keys up to which one task may order them all.
 ONE_TASK_KEYS = 10_000
-CUT = r"(?<=\n)|(?<=[.!?]\x20)"
+CUT = r"(?<=\n)|(?<=[.!?,;:|]\x20)"
 
 
 def paragraphs(text: Column) -> Column:

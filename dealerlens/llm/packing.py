@@ -143,7 +143,7 @@ def pieces(
 ) -> DataFrame:
     """One row per piece: the id, ``piece``, ``start``, ``length`` and ``piece_columns``,
     each a function of the piece's uint32 ids with its type (default: ``ids``)."""
-    columns = {"ids": (lambda x: x.tolist(), T.ArrayType(T.LongType()))} if piece_columns is None else piece_columns
+    columns = {"ids": (lambda x: x.astype("<i4"), T.ArrayType(T.IntegerType()))} if piece_columns is None else piece_columns
     id_type = docs.schema[id_col].dataType
     fields = [("doc_id", id_type), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType())]
     schema = T.StructType([T.StructField(n, t) for n, t in [*fields, *((n, t) for n, (_, t) in columns.items())]])

@@ -11,6 +11,8 @@ MODULES = {
     "op2_document_fingerprints": "fingerprint",
     "op3_source_mixing": "mixing",
     "op4_secret_scans": "secrets",
+    "op5_lm_scoring": "kneser_ney",
+    "op6_license_scans": "licenses",
     "op7_toxicity": "toxicity",
     "op8_exact_top_k": "topk",
     "op9_minhash_near_dedup": "near_dup",
@@ -19,7 +21,8 @@ MODULES = {
 
 
 def queries() -> dict[str, Callable]:
-    return {name: getattr(importlib.import_module(f".{module}", __package__), name) for name, module in MODULES.items()}
+    found = {name: getattr(importlib.import_module(f".{module}", __package__), name) for name, module in MODULES.items()}
+    return found | {"pipeline": importlib.import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:

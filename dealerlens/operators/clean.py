@@ -176,7 +176,7 @@ def pca(movement: DataFrame, side: str = "bid", *, bonds: int = 6, least: int =
     chosen = [r["cusip"] for r in ranked.orderBy(F.desc("n"), "cusip").limit(bonds).collect()]
     spark = movement.sparkSession
     schema = "bond string, loading double, variance_share double"
-    if len(chosen) < 2:
+    if len(chosen) < 3:
         return spark.createDataFrame([], schema)
     wide = x.filter(F.col("cusip").isin(chosen)).groupBy("ns").pivot("cusip", chosen).agg(F.first("delta")).dropna()
     n, *rest = wide.agg(F.count("*"), *(F.avg(f"`{c}`") for c in chosen), *(F.avg(F.col(f"`{a}`") * F.col(f"`{b}`")) for a in chosen for b in chosen)).first()

@@ -98,7 +98,7 @@ def issuer_votes(events: DataFrame, queries: DataFrame, *, lookback_min: int = L
     Movement is computed once per (donor, time); every query of an issuer's bond at that
     time then sees its donors but itself."""
     records = issuer_records(queries)
-    asked = queries.join(records, "cusip").filter("ns >= first_ns and ns < conflict_ns").select("row_id", "cusip", "ns", "day", "issuer")
+    asked = queries.select("row_id", "cusip", "ns", "day").join(records, "cusip").filter("ns >= first_ns and ns < conflict_ns").select("row_id", "cusip", "ns", "day", "issuer")
     donors = records.select(F.col("cusip").alias("donor"), "issuer", "first_ns", "conflict_ns")
     known = (F.col("first_ns") <= F.col("ns") - lookback_min * MINUTE_NS) & (F.col("conflict_ns") > F.col("ns"))
     times = asked.select("issuer", "ns", "day").distinct().join(donors, "issuer").filter(known)

@@ -21,9 +21,10 @@ def bond_universe(trades: DataFrame) -> DataFrame:
 
 def _by_scope(df: DataFrame, dealer: bool = True) -> DataFrame:
     """Each row once per scope: (scope, entity) next to its columns."""
-    each = [F.struct(F.lit("Global").alias("scope"), F.lit("All").alias("entity")), F.struct(F.lit("SECTOR"), F.col("sector")), F.struct(F.lit("Issuer"), F.col("issuer"))]
+    names = {"Global": F.lit("All"), "SECTOR": F.col("sector"), "Issuer": F.col("issuer")}
     if dealer:
-        each.append(F.struct(F.lit("Dealer"), label(F.col("firm"), "[Missing dealer]")))
+        names["Dealer"] = label(F.col("firm"), "[Missing dealer]")
+    each = [F.struct(F.lit(scope).alias("scope"), entity.alias("entity")) for scope, entity in names.items()]
     return df.withColumn("_x", F.explode(F.array(*each))).select("*", "_x.scope", "_x.entity").drop("_x")
 
 

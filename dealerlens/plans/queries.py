@@ -167,3 +167,312 @@ def _feature_sql() -> str:
 def query_features(spark, d):
     f = features.quote_features(history(spark, d), trades_view(spark, d).select("row_id", "cusip", "ns", "day")).drop("day")
     return rounded(f, *(f"bcq_{s}_{c}" for s in ("bid", "ask") for c in side.VALUES), *(f"bcq_{c}" for c in PAIR_MEANS))
+
+
+# Movement, issuer votes, composition.  Six bonds of two issuers.
+
+from ..config import CASE_SEED  # noqa: E402
+from ..operators import clean, diagnostics, movement, population  # noqa: E402
+from . import experiment, sql_more, store  # noqa: E402
+
+WIDE = dict(bonds=6, dealers=3)
+WIDE_BASE = [sql.quotes(6, 3), sql.trades(6), sql.EVENTS]
+
+
+def _moves(spark, d):
+    e, t = events.quote_events(quotes_view(spark, d, **WIDE)), trades_view(spark, d, bonds=6)
+    return e, t
+
+
+@register("movement_direction", sql.query(*WIDE_BASE, sql_more.moves(), select=f"SELECT cusip, ns, side, {', '.join(movement.MOVE_COUNTS)}, {sql.rounded(*movement.MOVE_VALUES)} FROM move"))
+def movement_direction(spark, d):
+    e, t = _moves(spark, d)
+    return rounded(movement.direction(movement.endpoint_states(e, t)).select("cusip", "ns", "side", *movement.MOVE_COUNTS, *movement.MOVE_VALUES), *movement.MOVE_VALUES)
+
+
+@register("issuer_mapping", sql.query(*WIDE_BASE[1:2], sql_more.RECORDS, select="SELECT cusip, issuer, first_ns, conflict_ns FROM records"))
+def issuer_mapping(spark, d):
+    return movement.issuer_records(trades_view(spark, d, bonds=6))
+
+
+@register("issuer_direction", sql.query(*WIDE_BASE, sql_more.RECORDS, sql_more.ISSUER, select=f"SELECT row_id, side, {', '.join(movement.ISSUER_COUNTS)}, {sql.rounded(*movement.ISSUER_VALUES)} FROM issuer_votes"))
+def issuer_direction(spark, d):
+    e, t = _moves(spark, d)
+    return rounded(movement.issuer_votes(e, t), *movement.ISSUER_VALUES)
+
+
+def _sidecar_sql() -> str:
+    part = lambda s, t, infix, values, counts: [f"round({t}.{c}, 6) AS bcq_{s}_{infix}_{c}" for c in values] + [f"coalesce({t}.{c}, 0) AS bcq_{s}_{infix}_{c}" for c in counts]
+    columns = [x for s in ("bid", "ask") for x in part(s, f"m{s}", "move", movement.MOVE_VALUES, movement.MOVE_COUNTS) + part(s, f"v{s}", "issuer_move", movement.ISSUER_VALUES, movement.ISSUER_COUNTS)]
+    joins = " ".join(f"LEFT JOIN (SELECT * FROM move WHERE side = '{s}') m{s} ON m{s}.cusip = t.cusip AND m{s}.ns = t.ns LEFT JOIN (SELECT * FROM issuer_votes WHERE side = '{s}') v{s} ON v{s}.row_id = t.row_id" for s in ("bid", "ask"))
+    return sql.query(*WIDE_BASE, sql_more.moves(), sql_more.RECORDS, sql_more.ISSUER, select=f"SELECT t.row_id, t.cusip, t.ns, {', '.join(columns)} FROM trades t {joins}")
+
+
+@register("movement_sidecar", _sidecar_sql())
+def movement_sidecar(spark, d):
+    e, t = _moves(spark, d)
+    f = movement.movement_features(e, t)
+    return rounded(f, *(f"bcq_{s}_move_{c}" for s in ("bid", "ask") for c in movement.MOVE_VALUES), *(f"bcq_{s}_issuer_move_{c}" for s in ("bid", "ask") for c in movement.ISSUER_VALUES))
+
+
+COMPOSITION = ["aggregate_delta_30m", "common_dealer_delta_30m", "center_delta_30m", "common_retention_30m", "past_common_retention_30m", "common_condition_changed_fraction_30m"]
+
+
+@register("composition_30m", sql.query(*BASE[:3], sql_more.moves(age="1e18"), """comp AS (SELECT cusip, ns, side, count(*) FILTER (WHERE has_now) AS n_now, count(*) FILTER (WHERE has_old) AS n_past, count(delta) AS n_common_dealers_30m,
+  count(*) FILTER (WHERE changed) AS ch, avg(c1) - avg(c0) AS aggregate_delta_30m, avg(delta) AS common_dealer_delta_30m FROM ep GROUP BY ALL),
+  comp2 AS (SELECT *, CASE WHEN n_now > 0 AND n_past > 0 THEN n_common_dealers_30m <> n_now OR n_common_dealers_30m <> n_past OR ch > 0 END AS composition_changed_30m FROM comp),
+  comp3 AS (SELECT * EXCLUDE (ch), CASE WHEN NOT composition_changed_30m THEN aggregate_delta_30m END AS center_delta_30m, CASE WHEN n_now > 0 THEN n_common_dealers_30m / n_now END AS common_retention_30m,
+  CASE WHEN n_past > 0 THEN n_common_dealers_30m / n_past END AS past_common_retention_30m, CASE WHEN n_common_dealers_30m > 0 THEN ch / n_common_dealers_30m END AS common_condition_changed_fraction_30m FROM comp2)""",
+  select=f"SELECT cusip, ns, side, n_now, n_past, n_common_dealers_30m, composition_changed_30m, {sql.rounded(*COMPOSITION)} FROM comp3"))
+def composition_30m(spark, d):
+    e = events.quote_events(quotes_view(spark, d))
+    return rounded(movement.composition_30m(e, trades_view(spark, d)).drop("day"), *COMPOSITION)
+
+
+# The grid cleaner.
+
+CLEAN_SQL = [sql.quotes(), sql_more.CLEAN]
+
+
+def _states(spark, d, **view):
+    q = quotes_view(spark, d, **view)
+    grid = clean.session_grid(q)
+    return q, grid, clean.clean_states(clean.grid_states(clean.replay(q), grid))
+
+
+@register("clean_states", sql.query(*CLEAN_SQL, select="SELECT ns, cusip, firm, side, reason, round(spread, 6) AS spread, round(age_min, 6) AS age_min, round(change_age_min, 6) AS change_age_min, eligible, crossed FROM clean"))
+def clean_states(spark, d):
+    return rounded(_states(spark, d)[2].select("ns", "cusip", "firm", "side", "reason", "spread", "age_min", "change_age_min", "eligible", "crossed"), "spread", "age_min", "change_age_min")
+
+
+@register("consensus_levels", sql.query(*CLEAN_SQL, select="SELECT ns, cusip, round(bid, 6) AS bid, round(ask, 6) AS ask, bid_n, ask_n FROM levels"))
+def consensus_levels(spark, d):
+    return rounded(clean.consensus_levels(_states(spark, d)[2]), "bid", "ask")
+
+
+@register("clean_coverage", sql.query(*CLEAN_SQL, """cn AS (SELECT cusip, ns, side, count(*) AS n FROM kept GROUP BY ALL)""",
+  select="SELECT b.cusip, " + ", ".join(f"round(count(*) FILTER (WHERE cn.side = '{s}' AND n >= {k}) / (SELECT count(*) FROM grid), 6) AS {s}_{m}" for s in ("bid", "ask") for m, k in (("fresh", 1), ("multi", 2))) + " FROM (SELECT DISTINCT cusip FROM quotes) b LEFT JOIN cn USING (cusip) GROUP BY b.cusip"))
+def clean_coverage(spark, d):
+    q, grid, s = _states(spark, d)
+    return rounded(clean.coverage(s, grid, clean.top_bonds(q)), "bid_fresh", "bid_multi", "ask_fresh", "ask_multi")
+
+
+@register("matched_movement", sql.query(*CLEAN_SQL, select="SELECT ns, cusip, side, n, round(delta, 6) AS delta, round(moved_fraction, 6) AS moved_fraction, round(moved_median, 6) AS moved_median, round(nonzero_delta, 6) AS nonzero_delta FROM matched_move"))
+def matched_movement(spark, d):
+    return rounded(clean.matched_movement(_states(spark, d)[2]), "delta", "moved_fraction", "moved_median", "nonzero_delta")
+
+
+@register("bond_corr", sql.query(*CLEAN_SQL, "mv AS (SELECT ns, cusip, delta AS v FROM matched_move WHERE side = 'bid' AND delta IS NOT NULL)",
+  select="SELECT a.cusip AS bond_a, b.cusip AS bond_b, count(*) AS overlap, round(CASE WHEN count(*) >= 30 THEN corr(a.v, b.v) END, 6) AS correlation FROM mv a JOIN mv b USING (ns) GROUP BY a.cusip, b.cusip"))
+def bond_corr(spark, d):
+    return rounded(clean.overlap_and_correlation(clean.matched_movement(_states(spark, d)[2])), "correlation")
+
+
+@register("clean_reasons", sql.query(*CLEAN_SQL, select="SELECT firm, side, reason, count(*) AS n FROM clean GROUP BY ALL"))
+def clean_reasons(spark, d):
+    return _states(spark, d)[2].groupBy("firm", "side", "reason").agg(F.count("*").alias("n"))
+
+
+@register("pca_loadings")
+def pca_loadings(spark, d):
+    return clean.pca(clean.matched_movement(_states(spark, d, bonds=3, dealers=3)[2]), least=10)
+
+
+@register("trend")
+def trend(spark, d):
+    return clean.ewma(clean.consensus_levels(_states(spark, d)[2]), "bid")
+
+
+# Population and cases.
+
+
+@register("bond_universe", sql.query(sql.trades(), sql_more.UNIVERSE, select="SELECT * FROM universe"))
+def bond_universe(spark, d):
+    return population.bond_universe(trades_view(spark, d))
+
+
+POP_RATES = ["multi_event_rate", "share_of_all_events", "unit_equal_multi_rate", "affected_unit_rate", "issuer_equal_multi_rate", "dealer_equal_multi_rate"]
+
+
+def _population(scope: str):
+    def run(spark, d):
+        p = population.event_population(history(spark, d), population.bond_universe(trades_view(spark, d)))
+        return rounded(p.filter(F.col("scope") == scope), *POP_RATES)
+
+    return run
+
+
+for _scope in population.SCOPES:
+    register(
+        f"population_{_scope.lower()}",
+        sql.query(*BASE, sql_more.UNIVERSE, sql_more.ANNOTATED, sql_more.POPULATION, select=f"SELECT * REPLACE ({sql.rounded(*POP_RATES)}) FROM pop JOIN unit USING (scope, entity) JOIN ei USING (scope, entity) JOIN ed USING (scope, entity) WHERE scope = '{_scope}'"),
+    )(_population(_scope))
+
+RAW_KINDS = ("Positive", "Zero", "Missing", "Other")
+
+
+@register("population_raw", sql.query(sql.quotes(), sql.trades(), sql_more.UNIVERSE, "rq AS (SELECT t.*, u.issuer, u.sector FROM tagged t JOIN universe u USING (cusip))", sql_more.by_scope("rq", "sq"),
+  select="SELECT scope, entity, count(*) AS raw_rows, count(*) FILTER (WHERE firm IS NULL) AS unkeyed_rows, count(DISTINCT cusip) AS quoted_bonds, " + ", ".join(f"count(*) FILTER (WHERE qkind = '{k}') AS raw_{k.lower()}_rows, round(count(*) FILTER (WHERE qkind = '{k}') / count(*), 6) AS raw_{k.lower()}_share" for k in RAW_KINDS) + " FROM sq GROUP BY scope, entity"))
+def population_raw(spark, d):
+    return rounded(population.raw_population(quotes_view(spark, d), population.bond_universe(trades_view(spark, d))), *(f"raw_{k.lower()}_share" for k in RAW_KINDS))
+
+
+@register("trade_day_coverage", sql.query(sql.quotes(), sql.trades(), sql_more.UNIVERSE, """td AS (SELECT DISTINCT cusip, day FROM trades), tq AS (SELECT DISTINCT cusip, day, true AS quoted FROM quotes),
+  tc AS (SELECT td.*, u.issuer, u.sector, coalesce(quoted, false) AS quoted, (SELECT min(day) FROM quotes) AS low, (SELECT max(day) FROM quotes) AS high FROM td JOIN universe u USING (cusip) LEFT JOIN tq USING (cusip, day))""", sql_more.by_scope("tc", "sc", dealer=False),
+  select="SELECT scope, entity, count(DISTINCT cusip) AS traded_bonds, count(DISTINCT issuer) AS traded_issuers, count(*) AS traded_bond_days, count(*) FILTER (WHERE quoted) AS quote_covered_traded_bond_days, count(DISTINCT cusip) FILTER (WHERE quoted) AS covered_bonds, count(*) FILTER (WHERE day < low OR day > high) AS outside_file_window_trade_days, count(*) FILTER (WHERE low IS NULL) AS unknown_quote_window_trade_days, round(count(*) FILTER (WHERE quoted) / count(*), 6) AS day_coverage FROM sc GROUP BY scope, entity"))
+def trade_day_coverage(spark, d):
+    t = trades_view(spark, d)
+    return rounded(population.trade_day_coverage(t, quotes_view(spark, d), population.bond_universe(t)), "day_coverage")
+
+
+CASES = """cc AS (SELECT firm, cusip, side, day, issuer, sector, count(*) AS events, avg(CAST(multi AS INTEGER)) AS multi_rate, avg(CAST(has_unknown AS INTEGER)) AS unknown_rate, avg(CAST(pair_refresh AS INTEGER)) AS refresh_rate FROM ann GROUP BY ALL),
+cd AS (SELECT firm, cusip, day, count(DISTINCT side) AS sides FROM cc GROUP BY ALL)"""
+
+
+@register("case_candidates", sql.query(*BASE, sql_more.UNIVERSE, sql_more.ANNOTATED, CASES,
+  select=f"SELECT cc.firm, cc.cusip, cc.side, CAST(cc.day AS VARCHAR) AS day, issuer, sector, events, round(multi_rate, 6) AS multi_rate, round(unknown_rate, 6) AS unknown_rate, round(refresh_rate, 6) AS refresh_rate, sides = 1 AS one_sided_day, CASE WHEN events <= 3 THEN '1-3' WHEN events <= 30 THEN '4-30' ELSE '31+' END AS activity, concat_ws('|', cc.firm, cc.cusip, cc.side, CAST(cc.day AS VARCHAR)) AS case_id, sha256('{CASE_SEED}|' || concat_ws('|', cc.firm, cc.cusip, cc.side, CAST(cc.day AS VARCHAR))) AS hash FROM cc JOIN cd USING (firm, cusip, day)"))
+def case_candidates(spark, d):
+    return rounded(day_text(population.case_candidates(history(spark, d), population.bond_universe(trades_view(spark, d)))), "multi_rate", "unknown_rate", "refresh_rate")
+
+
+@register("rule_impacts", sql.query(*BASE[:1], *BASE[2:], "et AS (SELECT cusip, side, day, ns, row_number() OVER (PARTITION BY cusip, side, day ORDER BY ns) - 1 AS pos, count(*) OVER (PARTITION BY cusip, side, day) AS n FROM (SELECT DISTINCT cusip, side, day, ns FROM hist)), pick AS (SELECT * FROM et WHERE pos = 0 OR pos = n // 2 OR pos = n - 1)",
+  sql.slots(source="hist", queries="pick"), sql.SIDE, "im AS (SELECT s.*, greatest(abs(center_decay - center_equal), abs(center_max_age - center_equal), abs(center_candidate_clip - center_equal), abs(center_dealer_downweight - center_equal)) AS e, CASE WHEN n_dealers > 0 THEN 1 - n_fresh_dealers / n_dealers END AS l FROM side s SEMI JOIN pick USING (cusip, side, day, ns))",
+  select="SELECT cusip, side, CAST(day AS VARCHAR) AS day, round(max(e), 6) AS max_center_effect_bps, round(avg(e), 6) AS mean_center_effect_bps, round(avg(l), 6) AS coverage_loss_fraction, count(*) AS impact_queries FROM im GROUP BY cusip, side, im.day"))
+def rule_impacts(spark, d):
+    return rounded(day_text(population.rule_impacts(history(spark, d))), "max_center_effect_bps", "mean_center_effect_bps", "coverage_loss_fraction")
+
+
+@register("fixed_cases")
+def fixed_cases(spark, d):
+    h = history(spark, d)
+    return population.case_manifest(population.scored_cases(population.case_candidates(h, population.bond_universe(trades_view(spark, d))), population.rule_impacts(h)))
+
+
+@register("issuer_choices", sql.query(*WIDE_BASE[:1], sql.trades(6), sql.EVENTS, sql.HISTORY, sql_more.UNIVERSE, sql_more.ANNOTATED, """ig AS (SELECT issuer, count(*) AS events, count(DISTINCT firm) AS dealers, avg(CAST(multi AS INTEGER)) AS multi_rate, avg(CAST(has_unknown AS INTEGER)) AS unknown_rate FROM ann GROUP BY issuer HAVING count(*) >= 100 AND count(DISTINCT day) >= 2 AND count(DISTINCT firm) >= 2 AND count(*) FILTER (WHERE multi) >= 5),
+  im AS (SELECT issuer, unnest([0, 1, 2, 3]) AS p, unnest(['events', 'multi_rate', 'unknown_rate', 'dealers']) AS measure, unnest([CAST(events AS DOUBLE), multi_rate, unknown_rate, CAST(dealers AS DOUBLE)]) AS v FROM ig), ir AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY v DESC, issuer) AS r FROM im)""",
+  select="SELECT issuer, min_by(measure, p) AS measure FROM ir WHERE r <= 2 GROUP BY issuer"))
+def issuer_choices(spark, d):
+    return population.issuer_choices(history(spark, d, **WIDE), population.bond_universe(trades_view(spark, d, bonds=6)))
+
+
+# Experiment and diagnostics.
+
+
+@register("chronological_split", sql.query(sql.trades(), sql_more.SPLIT, select="SELECT row_id, CAST(day AS VARCHAR) AS day, split, refit FROM split"))
+def chronological_split(spark, d):
+    return day_text(experiment.chronological_split(trades_view(spark, d)))
+
+
+def _frame(spark, d):
+    t = trades_view(spark, d)
+    split = experiment.chronological_split(t).drop("day")
+    return features.quote_features(history(spark, d), t).join(split, "row_id")
+
+
+def _version_sql(version: str) -> str:
+    level = experiment.LEVEL.get(version, "center_equal")
+    get = lambda s, c: f"max(CASE WHEN side = '{s}' THEN {c} END)"
+    out, wide = [], []
+    for s in ("bid", "ask"):
+        wide += [f"{get(s, level)} AS {s}_level"] + [f"{get(s, 'n_fresh_dealers' if version == 'Max age' and c == 'n_dealers' else c)} AS {s}_{c}" for c in experiment.RELIABILITY] + [f"{get(s, 'n_dealers')} AS {s}_d", f"{get(s, 'n_fresh_dealers')} AS {s}_f"]
+        out += [f"round({s}_level, 6) AS {s}_level", f"round({s}_level - 100 * prev_bm_spread, 6) AS {s}_anchor_gap"]
+        out += [f"coalesce({s}_{c}, 0) AS {s}_{c}" if c.startswith("n_") else f"round({s}_{c}, 6) AS {s}_{c}" for c in experiment.RELIABILITY]
+    k = "f" if version == "Max age" else "d"
+    return sql.query(*SIDE_SQL, f"wide AS (SELECT cusip, ns, {', '.join(wide)} FROM side GROUP BY ALL)", select=f"SELECT row_id, round(prev_bm_spread, 6) AS prev_bm_spread, quantity, trade_type, CAST(coalesce(bid_{k}, 0) + coalesce(ask_{k}, 0) > 0 AS DOUBLE) AS has_quote, {', '.join(out)} FROM trades t LEFT JOIN wide USING (cusip, ns)")
+
+
+def _version(version: str):
+    def run(spark, d):
+        t = trades_view(spark, d)
+        f = experiment.model_frame(features.quote_features(history(spark, d), t), version)
+        return rounded(f, "prev_bm_spread", *(f"{s}_{c}" for s in ("bid", "ask") for c in ("level", "anchor_gap", *(c for c in experiment.RELIABILITY if not c.startswith("n_")))))
+
+    return run
+
+
+for _v in ("Age decay", "Max age"):
+    register(f"model_version_{_v.lower().replace(' ', '_')}", _version_sql(_v))(_version(_v))
+
+
+def predictions_view(spark, d) -> DataFrame:
+    """Deterministic predictions of three models for all trades."""
+    models = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(k).alias("k")) for m, k in (("Base", 7), ("Reliability", 11), ("Age decay", 13))))
+    t = trades_view(spark, d).withColumn("x", F.explode(models))
+    e = (F.col("row_id") * F.col("x.k")) % 41 - 20
+    return t.select("row_id", "ns", "day", "x.model", F.col("bm_spread").alias("truth"), (F.col("bm_spread") + e / 100).alias("pred"), e.cast("double").alias("error_bps"))
+
+
+@register("model_ranking", sql.query(sql.trades(), sql_more.PREDICTIONS, select="SELECT model, count(*) AS n, round(avg(abs(error_bps)), 6) AS mae, round(quantile_cont(abs(error_bps), 0.95), 6) AS p95, round(avg(CAST(abs(error_bps) > 10 AS INTEGER)), 6) AS gt10 FROM preds GROUP BY model"))
+def model_ranking(spark, d):
+    return rounded(diagnostics.model_ranking(predictions_view(spark, d)), "mae", "p95", "gt10")
+
+
+@register("sector_tails", sql.query(sql.trades(), sql_more.PREDICTIONS, select="SELECT coalesce(sector, 'Unknown') AS sector, count(*) AS n, count(DISTINCT day) AS dates, round(avg(sel), 6) AS mae, round(avg(sel - ref), 6) AS delta_mae, round(quantile_cont(sel, 0.95) - quantile_cont(ref, 0.95), 6) AS delta_p95, round(avg(CAST(sel > 10 AS INTEGER)) - avg(CAST(ref > 10 AS INTEGER)), 6) AS delta_gt10 FROM trades t JOIN pe USING (row_id) GROUP BY 1"))
+def sector_tails(spark, d):
+    return rounded(diagnostics.sector_tails(trades_view(spark, d), predictions_view(spark, d), "Age decay", "Reliability"), "mae", "delta_mae", "delta_p95", "delta_gt10")
+
+
+DIAG = ["mae", "reference_mae", "delta_mae", "p95", "reference_p95", "gt10", "reference_gt10", "day_equal_delta", "lodo_min", "lodo_max", "contribution"]
+
+
+def _bins_sql(c: str, cuts: str) -> str:
+    edges, last = getattr(diagnostics, cuts)
+    return f"CASE WHEN {c} IS NULL OR {c} < 0 THEN 'Unknown' " + " ".join(f"WHEN {c} <= {e} THEN '{n}'" for e, n in edges) + f" ELSE '{last}' END"
+
+
+def _diagnostics_sql() -> str:
+    d = {"quote_state": "CASE WHEN bid_n + ask_n = 0 THEN 'No quote' WHEN bid_n > 0 AND ask_n > 0 THEN 'Two-sided' ELSE 'One-sided' END", "dealer_support": _bins_sql("(bid_n + ask_n)", "DEALER_BINS"), "peer_support": _bins_sql("(bid_p + ask_p)", "DEALER_BINS"), "paired_support": _bins_sql("n_pair", "DEALER_BINS"),
+         "issuer_trade_count": "CASE WHEN per_issuer <= 20 THEN '1-20' WHEN per_issuer <= 100 THEN '21-100' WHEN per_issuer <= 500 THEN '101-500' ELSE '500+' END", "SECTOR": "coalesce(sector, 'Unknown')", "trade_size": _bins_sql("quantity", "SIZE_BINS"), "trade_type": "coalesce(trade_type, 'Unknown')"}
+    for s in ("bid", "ask"):
+        yes = lambda c: f"CASE WHEN {c} IS NULL THEN 'Unknown' WHEN {c} > 0 THEN 'Some' ELSE 'None' END"
+        d |= {f"{s}_message_age": _bins_sql(f"{s}_m", "AGE_BINS"), f"{s}_change_age": _bins_sql(f"{s}_c", "AGE_BINS"), f"{s}_candidate_gap": _bins_sql(f"{s}_g", "GAP_BINS"), f"{s}_dispersion": _bins_sql(f"{s}_d", "GAP_BINS"), f"{s}_zero_quantity": yes(f"{s}_z"), f"{s}_unknown_quantity": yes(f"{s}_u")}
+    pick = {"n": "n_dealers", "p": "n_peer_supported", "m": "median_message_age_min", "c": "median_change_age_min", "g": "mean_candidate_gap", "d": "dispersion_bps", "z": "zero_quantity_fraction", "u": "unknown_quantity_fraction"}
+    wide = ", ".join(f"max(CASE WHEN side = '{s}' THEN {v} END) AS {s}_{k}" for s in ("bid", "ask") for k, v in pick.items())
+    counts = ", ".join(f"coalesce({s}_{k}, 0) AS {s}_{k}" for s in ("bid", "ask") for k in ("n", "p"))
+    families = " UNION ALL ".join(f"SELECT row_id, day, sel, ref, '{k}' AS family, {v} AS state FROM df" for k, v in d.items())
+    return sql.query(*SIDE_SQL, sql.PAIRS, sql_more.PREDICTIONS, f"wide AS (SELECT cusip, ns, {wide} FROM side GROUP BY ALL)",
+        f"df AS (SELECT t.row_id, t.day, t.sector, t.quantity, t.trade_type, count(*) OVER (PARTITION BY t.issuer) AS per_issuer, {counts}, wide.* EXCLUDE (cusip, ns, bid_n, ask_n, bid_p, ask_p), coalesce(pf.n_pair, 0) AS n_pair, pe.sel, pe.ref FROM trades t JOIN pe USING (row_id) LEFT JOIN wide USING (cusip, ns) LEFT JOIN pf USING (cusip, ns))",
+        f"fam AS ({families})", "dd AS (SELECT family, state, day, sum(sel - ref) AS s, count(*) AS n FROM fam GROUP BY ALL)",
+        "dl AS (SELECT family, state, avg(s / n) AS day_equal_delta, min(l) AS lodo_min, max(l) AS lodo_max FROM (SELECT *, (sum(s) OVER w - s) / nullif(sum(n) OVER w - n, 0) AS l FROM dd WINDOW w AS (PARTITION BY family, state)) GROUP BY ALL)",
+        "dg AS (SELECT family, state, count(*) AS n, count(DISTINCT day) AS dates, avg(sel) AS mae, avg(ref) AS reference_mae, avg(sel - ref) AS delta_mae, quantile_cont(sel, 0.95) AS p95, quantile_cont(ref, 0.95) AS reference_p95, avg(CAST(sel > 10 AS INTEGER)) AS gt10, avg(CAST(ref > 10 AS INTEGER)) AS reference_gt10, sum(sel - ref) / (SELECT count(*) FROM df) AS contribution FROM fam GROUP BY ALL)",
+        select=f"SELECT family, state, n, dates, {sql.rounded(*DIAG)} FROM dg JOIN dl USING (family, state)")
+
+
+@register("error_diagnostics", _diagnostics_sql())
+def error_diagnostics(spark, d):
+    f = features.quote_features(history(spark, d), trades_view(spark, d))
+    return rounded(diagnostics.state_diagnostics(f, predictions_view(spark, d), "Age decay", "Reliability"), *DIAG)
+
+
+@register("rule_shifts", sql.query(*SIDE_SQL, "rs AS (" + " UNION ALL ".join(f"SELECT coalesce(t.sector, 'Unknown') AS sector, '{s}' AS side, '{r}' AS rule, " + (f"CASE WHEN coalesce(x.n_peer_supported, 0) > 0 THEN abs(x.{r} - x.center_equal) END" if r in ("center_candidate_clip", "center_dealer_downweight") else f"abs(x.{r} - x.center_equal)") + f" AS shift, CAST(x.center_equal IS NOT NULL AND x.{r} IS NULL AS INTEGER) AS lost FROM trades t LEFT JOIN (SELECT * FROM side WHERE side = '{s}') x USING (cusip, ns)"
+  for s in ("bid", "ask") for r in ("center_decay", "center_max_age", "center_candidate_clip", "center_dealer_downweight")) + ")", select="SELECT side, rule, sector, count(shift) AS n, round(median(shift), 6) AS median_shift, round(quantile_cont(shift, 0.95), 6) AS p95_shift, round(avg(lost), 6) AS coverage_loss FROM rs GROUP BY ALL"))
+def rule_shifts(spark, d):
+    f = features.quote_features(history(spark, d), trades_view(spark, d))
+    return rounded(diagnostics.rule_shifts(f), "median_shift", "p95_shift", "coverage_loss")
+
+
+@register("prediction_problems", sql.query(sql.trades(), sql_more.PREDICTIONS, select="SELECT 'none' AS problem, CAST(0 AS BIGINT) AS \"rows\" FROM preds WHERE false"))
+def prediction_problems(spark, d):
+    t = trades_view(spark, d).withColumn("truth", F.col("bm_spread"))
+    return diagnostics.prediction_problems(t, predictions_view(spark, d))
+
+
+@register("event_gap_histogram", sql.query(*BASE[:1], sql.EVENTS, select="SELECT CAST(floor(gap / 2) AS BIGINT) AS bin, count(*) AS n FROM ev WHERE gap IS NOT NULL GROUP BY 1"))
+def event_gap_histogram(spark, d):
+    return diagnostics.histogram(events.quote_events(quotes_view(spark, d)), "gap", 2.0)
+
+
+@register("event_gap_cdf", sql.query(*BASE[:1], sql.EVENTS, "g AS (SELECT gap AS value, count(*) AS n FROM ev WHERE gap IS NOT NULL GROUP BY 1)", select="SELECT value, n, round(sum(n) OVER (ORDER BY value) / (SELECT sum(n) FROM g), 6) AS share FROM g"))
+def event_gap_cdf(spark, d):
+    return rounded(diagnostics.cdf(events.quote_events(quotes_view(spark, d)), "gap"), "share")
+
+
+@register("content_key")
+def content_key(spark, d):
+    return store.content_key(quotes_view(spark, d))
+
+
+@register("model_fit")
+def model_fit(spark, d):
+    f = _frame(spark, d).cache()
+    return diagnostics.model_ranking(experiment.run_comparison(f, ["Base", "Age decay"], trees=5, depth=3))

@@ -46,6 +46,13 @@ def ngrams(text: str | None, orders=ORDERS, bits: int = BITS) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
+def _distinct(features: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Each feature once; ``seen`` is scratch space, a number per feature."""
+    places = np.arange(len(features), dtype=np.int32)
+    seen[features] = places
+    return features[seen[features] == places]
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -53,16 +60,20 @@ class Model:
     orders: tuple = ORDERS
     bits: int = BITS
 
+    def __post_init__(self) -> None:
+        self.used = self.weights != 0
+        self.any = bool(self.used.any())
+
     def score(self, text: str | None) -> float:
-        if not self.weights.any():
+        if not self.any:
             return 1 / (1 + np.exp(-self.bias))
         features = ngrams(text, self.orders, self.bits)
-        features = np.unique(features[self.weights[features] != 0])
+        features = np.unique(features[self.used[features]])
         z = self.bias + float(self.weights[features].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(texts: list, labels: list, *, orders=ORDERS, bits: int = BITS, epochs: int = 30, penalty: float = 1e-3, alpha: float = 1.0, least: float = 0.02, errors: float = 4.0) -> Model:
+def fit(texts: list, labels: list, *, orders=ORDERS, bits: int = BITS, steps: int = 120, penalty: float = 1e-3, alpha: float = 1.0, least: float = 0.02, errors: float = 4.0) -> Model:
     """Weights of the scaled classifier; those under ``least`` are set to 0."""
     y = np.asarray(labels, np.float64)
     toxic, other = float(y.sum()), float(len(y) - y.sum())
@@ -70,7 +81,8 @@ def fit(texts: list, labels: list, *, orders=ORDERS, bits: int = BITS, epochs: i
         share = toxic / len(y) if len(y) else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << bits, np.float32), float(np.log(share / (1 - share))), tuple(orders), bits)
-    sets = [np.unique(ngrams(t, orders, bits)) for t in texts]
+    seen = np.zeros(1 << bits, np.int32)
+    sets = [_distinct(ngrams(t, orders, bits), seen) for t in texts]
     lengths = np.asarray([len(s) for s in sets])
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(y)), lengths)
@@ -85,14 +97,14 @@ def fit(texts: list, labels: list, *, orders=ORDERS, bits: int = BITS, epochs: i
     w, m, v = np.zeros(1 << bits), np.zeros(1 << bits), np.zeros(1 << bits)
     bias = bias_m = bias_v = 0.0
     balance = np.where(y == 1, 0.5 / toxic, 0.5 / other)
-    for step in range(1, 10 * epochs + 1):
+    for step in range(1, steps + 1):
         z = bias + np.bincount(row, weights=w[flat] * scale, minlength=len(y))
         error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * balance
         gradient = np.bincount(flat, weights=error[row] * scale, minlength=1 << bits) + penalty * 1e-2 * w
         bias_g = error.sum()
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         bias_m, bias_v = 0.9 * bias_m + 0.1 * bias_g, 0.99 * bias_v + 0.01 * bias_g**2
-        rate = 0.02 / (1 + step / (3 * epochs))
+        rate = 0.05 / (1 + 3 * step / steps)
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         bias -= rate * (bias_m / (1 - 0.9**step)) / (np.sqrt(bias_v / (1 - 0.99**step)) + 1e-6)
     weights = np.where(kept, w * ratio, 0)
@@ -118,6 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out_buckets: int | None =
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
 
     got = sample.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "weights binary, bias double").collect()
+    if not got:  # no row reached the fit
+        return fit([], [], orders=orders, bits=bits)
     return Model(np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"], tuple(orders), bits)
 
 

@@ -240,7 +240,8 @@ def confirmed_edges(docs: DataFrame, members: DataFrame, k: int, threshold: tupl
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     dealt = members.withColumn("o", other).select("id", "family", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    rows = texts.join(small_or_shuffled(dealt, members.count()), "id").select("family", "i", "j", "id", "text")
+    n_dealt = members.agg(F.sum("n_blocks")).first()[0] or 0
+    rows = texts.join(small_or_shuffled(dealt, n_dealt), "id").select("family", "i", "j", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _groups(batches, 3):

@@ -60,3 +60,14 @@ def doc_key_bucket(doc_id, buckets: int) -> int:
 def fold(column, buckets: int):
     """The same rule as a column."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(buckets))
+
+
+def chosen_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``n`` rows by the order of a hash of ``key``, for bounded samples.  A large input is
+    first thinned by other bits of the hash to about 4 n rows, so that what all partitions
+    offer together stays bounded as well."""
+    total, bits = df.count(), 1 << 30
+    h = F.xxhash64(key)
+    if total > 8 * n:
+        df = df.filter(F.pmod(h, F.lit(bits)) < max(1, bits * 4 * n // total))
+    return df.orderBy(h, key).limit(n)

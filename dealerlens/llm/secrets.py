@@ -8,8 +8,8 @@ The method: maximal runs of ``MIN_RUN`` or more characters of ``ALPHABET`` are s
 first-order Markov models, one of random strings and one of ordinary identifiers; a run
 whose mean log-likelihood ratio per transition exceeds ``THRESHOLD`` is a span of kind
 "markov", unless it meets a base span.  The models are counted from labelled strings:
-random ones are drawn from a hash, ordinary ones are words of the ``SAMPLE_DOCS`` documents with
-the least hash of their id (a documented bound of the fit) in three letter cases, and the
+random ones are drawn from a hash, ordinary ones are words of ``SAMPLE_DOCS`` documents chosen by
+a hash of their id (a documented bound of the fit) in three letter cases, and the
 identifiers below.  The counted table has at most 2 * 66 * 66 rows, whatever the input.
 
 Defined results: null texts count as empty and have no spans; repeated rows are scanned
@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import table
+from ._util import chosen_by_hash, table
 
 # The base patterns of the contract.  Group 1 of assign is the value.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -100,7 +100,7 @@ def labelled_samples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark: SparkSession = docs.sparkSession
     seed = spark.range(random_strings).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("h"))
     forms = F.explode(F.array(F.regexp_replace(F.base64("h"), "=", ""), F.lower(F.hex("h")), F.upper(F.conv(F.substring(F.hex("h"), 1, 15), 16, 36))))
-    chosen = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).filter("t is not null").orderBy(F.xxhash64("k"), "k").limit(sample_docs)
+    chosen = chosen_by_hash(docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")), "k", sample_docs).filter("t is not null")
     word = chosen.select(F.explode(F.split("t", r"[^A-Za-z0-9+/_-]+")).alias("w")).filter(f"length(w) >= 8 and not w rlike '{HEX}|{ACCESS}|[0-9]'")
     cased = word.select(F.explode(F.array("w", F.lower("w"), F.upper("w"))).alias("text"))
     named = spark.createDataFrame([(x,) for x in IDENTIFIERS], "text string")

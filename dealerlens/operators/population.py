@@ -29,26 +29,35 @@ def _by_scope(df: DataFrame, dealer: bool = True) -> DataFrame:
 
 
 def event_population(events: DataFrame, universe: DataFrame) -> DataFrame:
-    """Event counts and rates per scope, from annotated events with history."""
+    """Event counts and rates per scope, from events with history.
+
+    Events are counted once per dealer-bond-side-day; all scopes, distinct counts and
+    equal-weight rates then come from these much fewer rows."""
     e = annotated_events(events).join(universe.select("cusip", "issuer", "sector"), "cusip")
-    count = lambda c, name: F.count_if(c).alias(name)
-    flag = lambda c: F.col(c)
-    base = _by_scope(e).groupBy("scope", "entity").agg(
-        F.count("*").alias("events"), count(flag("multi"), "multi_events"), F.count_distinct("issuer").alias("observed_issuers"), F.count_distinct("firm").alias("observed_dealers"),
-        F.count_distinct("cusip").alias("keyed_quote_bonds"), F.count_distinct("cusip", "day").alias("observed_bond_days"), F.count_distinct(F.when(flag("multi"), F.struct("cusip", "day"))).alias("affected_bond_days"),
-        count(flag("same_positive_multi"), "same_positive_multi_events"), count(flag("has_unknown"), "unknown_quantity_events"), count(flag("has_zero"), "zero_quantity_events"), count(~flag("complete"), "incomplete_events"),
-        F.sum("repeats").cast("bigint").alias("repeats"), count(flag("history_break"), "history_breaks"), count(flag("pair_refresh"), "pair_refreshes"), count(flag("spread_changed"), "spread_changes"), count(flag("observed_aba"), "aba_events"),
-        *(count(flag("qclass") == q, f"quantity_event_{q}") for q in ("same", "different", "zero", "unknown")),
+    flags = {
+        "multi_events": F.col("multi"), "same_positive_multi_events": F.col("same_positive_multi"), "unknown_quantity_events": F.col("has_unknown"), "zero_quantity_events": F.col("has_zero"),
+        "incomplete_events": ~F.col("complete"), "history_breaks": F.col("history_break"), "pair_refreshes": F.col("pair_refresh"), "spread_changes": F.col("spread_changed"), "aba_events": F.col("observed_aba"),
+        **{f"quantity_event_{q}": F.col("qclass") == q for q in ("same", "different", "zero", "unknown")},
+    }
+    sums = ["events", "repeats", *flags]
+    units = e.groupBy("cusip", "firm", "side", "day", "issuer", "sector").agg(F.count("*").alias("events"), F.sum("repeats").cast("bigint").alias("repeats"), *(F.count_if(c).alias(n) for n, c in flags.items()))
+    x = _by_scope(units)
+    affected = F.col("multi_events") > 0
+    base = x.groupBy("scope", "entity").agg(
+        *(F.sum(c).alias(c) for c in sums), F.count_distinct("issuer").alias("observed_issuers"), F.count_distinct("firm").alias("observed_dealers"), F.count_distinct("cusip").alias("keyed_quote_bonds"),
+        F.count_distinct("cusip", "day").alias("observed_bond_days"), F.count_distinct(F.when(affected, F.struct("cusip", "day"))).alias("affected_bond_days"),
+        F.count("*").alias("dealer_bond_side_days"), F.count_if(affected).alias("affected_dealer_bond_side_days"), F.avg(F.col("multi_events") / F.col("events")).alias("unit_equal_multi_rate"),
     )
-    base = base.withColumn("multi_event_rate", F.col("multi_events") / F.col("events"))
-    rate = F.avg(flag("multi").cast("int"))
-    units = e.groupBy("cusip", "firm", "side", "day", "issuer", "sector").agg(rate.alias("unit_rate"))
-    unit = _by_scope(units).groupBy("scope", "entity").agg(F.count("*").alias("dealer_bond_side_days"), count(flag("unit_rate") > 0, "affected_dealer_bond_side_days"), F.avg("unit_rate").alias("unit_equal_multi_rate"))
-    unit = unit.withColumn("affected_unit_rate", F.col("affected_dealer_bond_side_days") / F.col("dealer_bond_side_days"))
-    equal = lambda by, name: _by_scope(e).groupBy("scope", "entity", F.col(by).alias("_by")).agg(rate.alias("_r")).groupBy("scope", "entity").agg(F.avg("_r").alias(name))
-    share = e.agg(F.count("*").alias("_all"))
-    out = base.join(unit, ["scope", "entity"]).join(equal("issuer", "issuer_equal_multi_rate"), ["scope", "entity"]).join(equal("firm", "dealer_equal_multi_rate"), ["scope", "entity"])
-    return out.join(F.broadcast(share), F.lit(True)).withColumn("share_of_all_events", F.col("events") / F.col("_all")).drop("_all")
+    equal = lambda by, name: x.groupBy("scope", "entity", F.col(by).alias("_by")).agg((F.sum("multi_events") / F.sum("events")).alias("_r")).groupBy("scope", "entity").agg(F.avg("_r").alias(name))
+    total = units.agg(F.sum("events").alias("_all"))
+    out = base.join(equal("issuer", "issuer_equal_multi_rate"), ["scope", "entity"]).join(equal("firm", "dealer_equal_multi_rate"), ["scope", "entity"]).join(F.broadcast(total), F.lit(True))
+    return out.withColumns(
+        {
+            "multi_event_rate": F.col("multi_events") / F.col("events"),
+            "affected_unit_rate": F.col("affected_dealer_bond_side_days") / F.col("dealer_bond_side_days"),
+            "share_of_all_events": F.col("events") / F.col("_all"),
+        }
+    ).drop("_all")
 
 
 def raw_population(quotes: DataFrame, universe: DataFrame) -> DataFrame:

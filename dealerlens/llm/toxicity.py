@@ -6,8 +6,8 @@ ratios r of the features in toxic against other texts; a logistic regression is
 on the presence of each feature times r.  Scoring reads whole texts and needs one table of
 weights, whose size is fixed by ``bits``.
 
-The fit uses at most ``rows_per_class`` labelled texts of each class, those with the least
-hash of their id; every text is scored.
+The fit uses at most ``rows_per_class`` labelled texts of each class, chosen by a hash of
+their id; every text is scored.
 
 Defined results: null and empty texts score as the empty text; a document with several
 label rows counts as toxic if one of them says so; labels other than 0 and 1 are left out;
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import fold, table
+from ._util import chosen_by_hash, fold, table
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -82,17 +82,16 @@ def fit(texts: list, labels: list, *, orders=ORDERS, bits: int = BITS, steps: in
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << bits, np.float32), float(np.log(share / (1 - share))), tuple(orders), bits)
     seen = np.zeros(1 << bits, np.int32)
-    sets = [_distinct(ngrams(t, orders, bits), seen) for t in texts]
-    lengths = np.asarray([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    row = np.repeat(np.arange(len(y)), lengths)
-    p = alpha + np.bincount(flat, weights=y[row], minlength=1 << bits)
-    q = alpha + np.bincount(flat, weights=1 - y[row], minlength=1 << bits)
+    # Features are made twice rather than held: those of all texts may not fit a worker.
+    features_of = lambda t: _distinct(ngrams(t, orders, bits), seen)
+    p, q = np.full(1 << bits, alpha), np.full(1 << bits, alpha)
+    for text, label in zip(texts, y, strict=True):
+        (p if label else q)[features_of(text)] += 1
     ratio = np.log((p / (toxic + 2 * alpha)) / (q / (other + 2 * alpha)))
     # Features whose ratio is within a few standard errors of 0 are left out of the fit.
     kept = np.abs(ratio) >= errors * np.sqrt(1 / p + 1 / q)
-    use = kept[flat]
-    flat, row = flat[use], row[use]
+    sets = [f[kept[f]] for f in map(features_of, texts)]
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(y), dtype=np.int32), [len(f) for f in sets])
     scale = ratio[flat]
     w, m, v = np.zeros(1 << bits), np.zeros(1 << bits), np.zeros(1 << bits)
     bias = bias_m = bias_v = 0.0
@@ -119,8 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out_buckets: int | None =
     if held_out_buckets:
         known = known.filter(fold(F.col("doc_id"), held_out_buckets) != 0)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.filter("y = 1").orderBy(*by_hash).limit(rows_per_class).unionByName(known.filter("y = 0").orderBy(*by_hash).limit(rows_per_class))
+    chosen = chosen_by_hash(known.filter("y = 1"), "doc_id", rows_per_class).unionByName(chosen_by_hash(known.filter("y = 0"), "doc_id", rows_per_class))
     # At most 2 * rows_per_class pairs of numbers: a proven bound for the broadcast.
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 

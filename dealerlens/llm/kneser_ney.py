@@ -105,9 +105,9 @@ def _hash_range(h: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _merge(rows: DataFrame, make) -> DataFrame:
-    """One row (range, n, a, b, c) of blobs per range, by ``make(keys, counts)``; a holds n
+    """One row (range, n, a, b, c, d) of blobs per range, by ``make(keys, counts)``; a holds n
     keys of 8 bytes."""
-    names = ("range", "n", "a", "b", "c")
+    names = ("range", "n", "a", "b", "c", "d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -118,9 +118,9 @@ def _merge(rows: DataFrame, make) -> DataFrame:
             parts = held.pop(number)
             keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]).astype(np.int64))
             blobs = make(keys, counts)
-            yield _blob_batch([(number, len(blobs[0]) // 8, *blobs, *[None] * (3 - len(blobs)))], names)
+            yield _blob_batch([(number, len(blobs[0]) // 8, *blobs, *[None] * (4 - len(blobs)))], names)
 
-    return rows.repartition("range").mapInArrow(run, "range long, n long, a binary, b binary, c binary")
+    return rows.repartition("range").mapInArrow(run, "range long, n long, a binary, b binary, c binary, d binary")
 
 
 def _counts_of_counts(counts: np.ndarray) -> bytes:
@@ -209,21 +209,14 @@ def _opened(place: str, kind: str, columns: dict[str, str]) -> Ranges:
     return _open[place]
 
 
-WORD_COLUMNS = {"a": "u8", "b": "u4"}
+WORD_COLUMNS = {"a": "u8", "b": "u4", "d": "i8"}
 CONTINUED_COLUMNS = {"a": "u8", "b": "u4"}
 CONTEXT_COLUMNS = {"a": "u8", "b": "f4"}
 PAIR_COLUMNS = {"a": "u8", "b": "u4"}
 
 
-def _history_counts(words: Ranges) -> np.ndarray:
-    """How often each id is a history: word ids as often as the word, the start as the end."""
-    counts = words.columns["b"]
-    end = words.find(np.asarray([END], np.uint64))[0]
-    return np.concatenate([[counts[end] if end >= 0 else 0], counts]).astype(np.int64)
-
-
 def _count_of_history(words: Ranges, ids: np.ndarray) -> np.ndarray:
-    """The same for some ids only."""
+    """How often ids are histories: word ids as often as the word, the start as the end."""
     if not len(words.keys):
         return np.zeros(len(ids))
     end = words.find(np.asarray([END], np.uint64))[0]
@@ -231,6 +224,19 @@ def _count_of_history(words: Ranges, ids: np.ndarray) -> np.ndarray:
     return words.columns["b"][at].astype(np.float64)
 
 
+def _tokens_before(words: Ranges, ids: np.ndarray) -> np.ndarray:
+    """Training tokens whose history has a smaller id, from sums kept per range: no array of
+    the vocabulary's size is made."""
+    out = np.zeros(len(ids), np.int64)
+    word = ids != START_ID
+    at = ids[word].astype(np.int64) - 1
+    ends = words.starts[1:] - 1
+    base = np.concatenate([[0], np.cumsum(words.columns["d"][ends] + words.columns["b"][ends])])
+    first = int(_count_of_history(words, np.asarray([START_ID], np.uint64))[0])
+    out[word] = first + base[np.searchsorted(words.starts, at, side="right") - 1] + words.columns["d"][at]
+    return out
+
+
 class BigramModel:
     """Places and totals of a trained model; small, and sent to every task."""
 
@@ -296,7 +302,7 @@ def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_c
 
     blobs = "range long, keys binary, counts binary"
     model = BigramModel()
-    model.words = _publish(_merge(texts.mapInArrow(count_words, blobs), lambda k, c: (k.tobytes(), c.astype(np.uint32).tobytes(), np.int64(c.sum()).tobytes())), "words")
+    model.words = _publish(_merge(texts.mapInArrow(count_words, blobs), lambda k, c: (k.tobytes(), c.astype(np.uint32).tobytes(), np.int64(c.sum()).tobytes(), (np.cumsum(c) - c).astype(np.int64).tobytes())), "words")
     spark = docs.sparkSession
     # One short row per range.
     totals = spark.read.parquet(model.words).select("n", "c").rdd.map(lambda r: (r[0], int(np.frombuffer(r[1], np.int64)[0]))).fold((0, 0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
@@ -308,8 +314,6 @@ def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_c
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _opened(words_at, "words", WORD_COLUMNS)
-        seen = _history_counts(words)
-        before = np.concatenate([[0], np.cumsum(seen)])
         for held in _token_batches(batches, folds, held_out):
             flat = np.concatenate(held)
             distinct, number = np.unique(flat, return_inverse=True)
@@ -321,8 +325,8 @@ def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_c
             keys, counts = np.unique((history << np.uint64(32)) | token, return_counts=True)
             # Ranges of about equal numbers of tokens, in key order: a frequent history is
             # spread over several of them by the word.
-            h, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(2**32 - 1)).astype(np.int64)
-            deal = (before[h] + seen[h] * (w / (len(seen) + 1))).astype(np.int64) // per_range
+            h, w = keys >> np.uint64(32), (keys & np.uint64(2**32 - 1)).astype(np.int64)
+            deal = (_tokens_before(words, h) + _count_of_history(words, h) * (w / (len(words.keys) + 2))).astype(np.int64) // per_range
             yield _blob_batch(list(_by_range(keys, counts, deal)), ("range", "keys", "counts"))
 
     def make_pairs(keys: np.ndarray, counts: np.ndarray) -> tuple:

@@ -1,12 +1,15 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line, or, in a longer line, each window of ``WINDOW`` words at every
-``STRIDE``-th word.  A template matches a block that contains at least ``THRESHOLD`` of its
+A block is any run of consecutive words, as long as the template's window: ``WINDOW`` words, or twice
+the template's own if that is more.  The query takes the words of the whole text, so that
+a template which wraps over line breaks is found; ``scan`` without ``across_lines`` ends blocks
+at line breaks.  A template matches a block that contains at least ``THRESHOLD`` of its
 distinct words.  All templates are ordered by the words' frequency in the whole corpus,
-rarest first; a block can only match if it holds one of the template's first
+rarest first; a text can only match if it holds one of the template's first
 |T| - required + 1 words (prefix filter), has enough distinct words (length filter), and if
-the words that remain behind the first hit are enough (positional filter).  What passes is counted
-exactly, so the join finds every match.
+the words that remain behind the first hit are enough (positional filter).  For what passes, the
+distinct words in every window are counted by one slide over the places of the
+template's words, so the join finds every match.
 
 Only the frequencies of template words are gathered, as many rows as templates have words.
 
@@ -85,27 +88,49 @@ class TemplateIndex:
                 continue
             need = math.ceil(threshold * len(distinct) - 1e-9)
             number = len(self.templates)
-            self.templates.append((label, frozenset(w.encode() for w in distinct), need))
+            self.templates.append((label, frozenset(w.encode() for w in distinct), need, max(WINDOW, 2 * len(words_of(text)))))
             for place, word in enumerate(distinct[: len(distinct) - need + 1]):
                 self.by_word.setdefault(word.encode(), []).append((number, place))
         self.prefix = frozenset(self.by_word)
 
-    def matches(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
-        """(label, containment) of all templates that ``block`` meets."""
+    def matches(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
+        """(label, best containment) of all templates that a block of ``words`` meets."""
+        block = set(words)
         first: dict[int, int] = {}
         for word in self.prefix & block:
             for number, place in self.by_word[word]:
                 first[number] = min(place, first.get(number, place))
         for number, place in first.items():
-            label, words, need = self.templates[number]
-            if len(block) < need or len(words) - place < need:
+            label, wanted, need, window = self.templates[number]
+            if len(block) < need or len(wanted) - place < need:
                 continue
-            shared = len(words & block)
+            shared = len(wanted & block)
             if shared >= need:
-                yield label, shared / len(words)
+                if len(words) > window:
+                    shared = most_distinct(words, wanted, window)
+                if shared >= need:
+                    yield label, shared / len(wanted)
+
+
+def most_distinct(words: list[bytes], wanted: frozenset[bytes], window: int) -> int:
+    """The most distinct ``wanted`` words that ``window`` consecutive words hold."""
+    places = [(i, w) for i, w in enumerate(words) if w in wanted]
+    held: Counter = Counter()
+    best = start = 0
+    for at, word in places:
+        held[word] += 1
+        while places[start][0] <= at - window:
+            gone = places[start][1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            start += 1
+        best = max(best, len(held))
+    return best
 
 
 def blocks_of(line: list[bytes]) -> Iterator[list[bytes]]:
+    """A line's blocks at fixed strides: the plain version that tests hold the slide against."""
     if len(line) <= WINDOW:
         yield line
     else:
@@ -113,18 +138,16 @@ def blocks_of(line: list[bytes]) -> Iterator[list[bytes]]:
             yield line[at : at + WINDOW]
 
 
-def scan_text(text: str | None, index: TemplateIndex, phrases: dict[str, str] = PHRASES) -> tuple:
+def scan_text(text: str | None, index: TemplateIndex, phrases: dict[str, str] = PHRASES, across_lines: bool = False) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score)."""
     words = words_of(text)
     places = phrase_places(words, phrases)
     base, labels, score = {x for _, x in places}, set(), 0.0
     if not index.prefix.isdisjoint(words):
-        for line in text.split("\n"):
-            for block in blocks_of(words_of(line)):
-                if not index.prefix.isdisjoint(block):
-                    for label, share in index.matches(set(block)):
-                        labels.add(label)
-                        score = max(score, share)
+        for run in [words] if across_lines else map(words_of, text.split("\n")):
+            for label, share in index.matches(run):
+                labels.add(label)
+                score = max(score, share)
     starts = [s for s, _ in places]
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score
 
@@ -143,7 +166,7 @@ def word_counts(docs: DataFrame, wanted: frozenset[bytes], text_col: str = "text
     return {r["word"]: r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-def scan(docs: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES, across_lines: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     counts = word_counts(docs, frozenset(w for _, t in templates for w in words_of(t)), text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -153,11 +176,11 @@ def scan(docs: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TemplateIndex(templates, threshold, counts)
         for batch in batches:
-            rows = [scan_text(t.as_py(), index, phrases) for t in batch.column(1)]
+            rows = [scan_text(t.as_py(), index, phrases, across_lines) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def op6_license_scans(spark, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), across_lines=True)

@@ -130,6 +130,28 @@ def test_license_join_finds_every_match(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "lgpl": "modify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either",
+}
+
+
+def test_op6_finds_hard_wrapped_headers(spark, tmp_path):
+    documents(spark, [f"# Copyright\n{t.replace(chr(10), chr(10) + '# ')}\n\nimport os" for t in WRAPPED.values()]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = licenses.op6_license_scans(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert all(label in row.labels.split(",") and row.score == 1 for label, row in zip(WRAPPED, got, strict=True))
+
+
+def test_license_templates_longer_than_the_window(spark):
+    words = [f"term{i}" for i in range(200)]
+    templates = [("long", " ".join(words))]
+    texts = [" ".join(["filler"] * before + words + ["filler"] * 500) for before in (0, 37, 150, 333)] + [" ".join(words[:150]), " ".join(x for w in words for x in (w, "a", "b", "c", "d"))]
+    wrapped = [re.sub("((?:\\S+ ){9}\\S+) ", "\\1\n", t) for t in texts]
+    assert [r.score for r in licenses.scan(documents(spark, texts), templates=templates).orderBy("doc_id").collect()] == [1, 1, 1, 1, 0, 0]
+    assert [r.labels for r in licenses.scan(documents(spark, wrapped), templates=templates, across_lines=True).orderBy("doc_id").collect()] == ["long"] * 4 + ["", ""]
+
+
 def test_url_rules_against_all_regexes(spark):
     r = random.Random(6)
     hosts = ["example.com", "a.example.com", "EXAMPLE.net", "x.example.net:80", "ample.org", "com", "spam-farm.example.org", "ads.doubleclick.io"]

@@ -3,7 +3,9 @@
 A text (lower case, white space as one space, a space at both ends) is the set of its character
 n-grams, hashed to a fixed number of features.  From labelled texts come the log-count
 ratios r of the features in toxic against other texts; a logistic regression is then fitted
-on the presence of each feature times r.  Scoring reads whole texts and needs one table of
+on the presence of each feature times r, over minibatches of texts.  Features whose presence hardly
+depends on the label (log-likelihood ratio statistic of the 2x2 table under ``evidence``) get no weight; a feature
+of one class alone keeps one from 3 texts on where classes are of equal size.  Scoring reads whole texts and needs one table of
 weights, whose size is fixed by ``bits``.
 
 The fit uses at most ``rows_per_class`` labelled texts of each class, chosen by a hash of
@@ -30,6 +32,9 @@ from ._util import chosen_by_hash, fold, table
 ORDERS = (3, 4, 5, 6)
 BITS = 20
 ROWS_PER_CLASS = 3000
+BATCH = 512
+#: Feature numbers that a fit holds; those of further texts are made again in each pass.
+HELD = 50_000_000
 
 
 def ngrams(text: str | None, orders=ORDERS, bits: int = BITS) -> np.ndarray:
@@ -53,6 +58,13 @@ def _distinct(features: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return features[seen[features] == places]
 
 
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, toxic: float, other: float) -> np.ndarray:
+    """G of the tables of features in ``a`` of ``toxic`` and ``b`` of ``other`` texts; it holds for rare features too."""
+    share = (a + b) / (toxic + other)
+    part = lambda n, expected: n * np.log(np.where(n > 0, n, 1) / np.where(n > 0, expected, 1))
+    return 2 * (part(a, toxic * share) + part(b, other * share) + part(toxic - a, toxic * (1 - share)) + part(other - b, other * (1 - share)))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -73,7 +85,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(texts: list, labels: list, *, orders=ORDERS, bits: int = BITS, steps: int = 120, penalty: float = 1e-3, alpha: float = 1.0, least: float = 0.02, errors: float = 4.0) -> Model:
+def fit(texts: list, labels: list, *, orders=ORDERS, bits: int = BITS, steps: int = 120, penalty: float = 1e-3, alpha: float = 1.0, least: float = 0.02, evidence: float = 4.0) -> Model:
     """Weights of the scaled classifier; those under ``least`` are set to 0."""
     y = np.asarray(labels, np.float64)
     toxic, other = float(y.sum()), float(len(y) - y.sum())
@@ -82,33 +94,47 @@ def fit(texts: list, labels: list, *, orders=ORDERS, bits: int = BITS, steps: in
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << bits, np.float32), float(np.log(share / (1 - share))), tuple(orders), bits)
     seen = np.zeros(1 << bits, np.int32)
-    # Features are made twice rather than held: those of all texts may not fit a worker.
     features_of = lambda t: _distinct(ngrams(t, orders, bits), seen)
-    p, q = np.full(1 << bits, alpha), np.full(1 << bits, alpha)
+    p, q = np.zeros(1 << bits), np.zeros(1 << bits)
     for text, label in zip(texts, y, strict=True):
         (p if label else q)[features_of(text)] += 1
-    ratio = np.log((p / (toxic + 2 * alpha)) / (q / (other + 2 * alpha)))
-    # Features whose ratio is within a few standard errors of 0 are left out of the fit.
-    kept = np.abs(ratio) >= errors * np.sqrt(1 / p + 1 / q)
-    sets = [f[kept[f]] for f in map(features_of, texts)]
-    flat, row = np.concatenate(sets), np.repeat(np.arange(len(y), dtype=np.int32), [len(f) for f in sets])
-    scale = ratio[flat]
-    w, m, v = np.zeros(1 << bits), np.zeros(1 << bits), np.zeros(1 << bits)
+    kept = np.flatnonzero(likelihood_ratio(p, q, toxic, other) >= evidence)
+    ratio = np.log(((p[kept] + alpha) / (toxic + 2 * alpha)) / ((q[kept] + alpha) / (other + 2 * alpha)))
+    number = np.full(1 << bits, -1, np.int32)
+    number[kept] = np.arange(len(kept), dtype=np.int32)
+
+    def kept_of(text) -> np.ndarray:
+        f = number[features_of(text)]
+        return f[f >= 0]
+
+    sets, room = [], HELD
+    for text in texts:
+        f = kept_of(text) if room > 0 else None
+        room -= 0 if f is None else len(f)
+        sets.append(f)
+    w, m, v, total = (np.zeros(len(kept)) for _ in range(4))
     bias = bias_m = bias_v = 0.0
     balance = np.where(y == 1, 0.5 / toxic, 0.5 / other)
+    batches = -(-len(y) // BATCH)
+    order = np.random.default_rng(0).permutation(len(y))
     for step in range(1, steps + 1):
-        z = bias + np.bincount(row, weights=w[flat] * scale, minlength=len(y))
-        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * balance
-        gradient = np.bincount(flat, weights=error[row] * scale, minlength=1 << bits) + penalty * 1e-2 * w
-        bias_g = error.sum()
+        scaled, bias_g = w * ratio, 0.0
+        total[:] = 0
+        for i in order[(step - 1) % batches :: batches]:
+            f = kept_of(texts[i]) if sets[i] is None else sets[i]
+            z = bias + scaled[f].sum()
+            error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[i]) * balance[i] * batches
+            total[f] += error  # a text has each feature once
+            bias_g += error
+        gradient = total * ratio + penalty * 1e-2 * w
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         bias_m, bias_v = 0.9 * bias_m + 0.1 * bias_g, 0.99 * bias_v + 0.01 * bias_g**2
         rate = 0.05 / (1 + 3 * step / steps)
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         bias -= rate * (bias_m / (1 - 0.9**step)) / (np.sqrt(bias_v / (1 - 0.99**step)) + 1e-6)
-    weights = np.where(kept, w * ratio, 0)
-    weights[np.abs(weights) < least] = 0
-    return Model(weights.astype(np.float32), float(bias), tuple(orders), bits)
+    weights = np.zeros(1 << bits, np.float32)
+    weights[kept] = np.where(np.abs(w * ratio) < least, 0, w * ratio)
+    return Model(weights, float(bias), tuple(orders), bits)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, held_out_buckets: int | None = 5, rows_per_class: int = ROWS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", orders=ORDERS, bits: int = BITS) -> Model:

@@ -169,6 +169,33 @@ def test_toxicity_held_out_accuracy_and_repeats(spark):
     assert np.array_equal(toxicity.train(docs, flipped).weights, model.weights)
 
 
+def balanced(n, terms, seed):
+    """n plain texts and n with one of the given number of toxic terms."""
+    fixed, r = random.Random(1), random.Random(seed)
+    word = lambda parts, low, high: "".join(fixed.choice(parts) for _ in range(fixed.randrange(low, high)))
+    plain = [word(("ka", "lo", "mi", "ten", "dra", "sul", "por", "ne", "vi", "gra", "ost", "eb"), 2, 5) for _ in range(2000)]
+    bad = [word([c + v for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou"], 4, 5) for _ in range(terms)]
+    texts = [[r.choice(plain) for _ in range(60)] for _ in range(2 * n)]
+    for t in texts[1::2]:
+        t[r.randrange(60)] = r.choice(bad)
+    return [" ".join(t) for t in texts], [0, 1] * n
+
+
+@pytest.mark.parametrize("n,terms,least", [(50, 10, 0.65), (300, 100, 0.7), (3000, 100, 0.99)])
+def test_toxicity_of_balanced_samples_with_rare_terms(n, terms, least):
+    model = toxicity.fit(*balanced(n, terms, 5))
+    texts, labels = balanced(500, terms, 6)
+    right = [(model.score(t) >= 0.5) == bool(y) for t, y in zip(texts, labels, strict=True)]
+    assert sum(right) >= least * len(right), sum(right)
+
+
+def test_toxicity_fit_beyond_what_it_holds(monkeypatch):
+    texts, labels = balanced(100, 10, 5)
+    whole = toxicity.fit(texts, labels).weights
+    monkeypatch.setattr(toxicity, "HELD", 1000)
+    assert np.array_equal(toxicity.fit(texts, labels).weights, whole)
+
+
 def test_toxicity_odd_rows(spark):
     docs, labels, _ = labelled(spark, 60)
     model = toxicity.train(docs, labels)

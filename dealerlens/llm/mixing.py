@@ -19,6 +19,8 @@ named as the added ones are replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,10 @@ SEED = 2026
 TEMPERATURE = 0.5
 #: Hash steps of the uniform number: 13 hex digits, exact in a double.
 STEPS = 16.0**13
-#: Longest run of terms; beyond it the remaining probability is below 1e-13 for rates to 32.
+#: Run of terms for rates to TERMS / 3; beyond it the remaining probability is below 1e-13.
 TERMS = 96
+#: Rates to this are summed from 0; for higher ones, exp(-rate) nears the end of doubles.
+FROM_ZERO = 512
 ADDED = ("repetition_rate", "copy", "shuffle_key")
 
 
@@ -61,16 +65,21 @@ def uniform(key, seed: int):
 def poisson_inverse(u, rate):
     """The least n whose cumulative Poisson probability exceeds u.
 
-    Terms are summed up to ``TERMS``; of a rate beyond TERMS / 3, the part beyond TERMS / 6
-    is certain copies, which keeps the mean."""
-    whole = F.when(rate > TERMS / 3, F.floor(rate - TERMS / 6)).otherwise(F.lit(0)).cast("double")
-    mean = rate - whole
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"))
+    Terms are summed from 0, or, for rates beyond ``FROM_ZERO``, from 10 standard deviations below
+    the rate, where what lies below is under 1e-20; they end 10 standard deviations above."""
+    wide = 10 * F.sqrt(rate)
+    low = F.when(rate > FROM_ZERO, F.floor(rate - wide)).otherwise(F.lit(0)).cast("bigint")
+    high = F.when(rate > TERMS / 3, F.ceil(rate + wide + 40)).otherwise(F.lit(TERMS)).cast("bigint")
+    # The logarithm of the first term, with Stirling's series for the factorial.
+    k = low.cast("double")
+    log_p = k * F.log1p((rate - k) / k) - (rate - k) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k)
+    first = F.when(rate > FROM_ZERO, F.exp(log_p)).otherwise(F.exp(-rate))
+    start = F.struct(first.alias("p"), first.alias("c"), low.cast("int").alias("n"))
     step = lambda a, i: F.when(u < a["c"], a).otherwise(
-        F.struct((a["p"] * mean / i).alias("p"), (a["c"] + a["p"] * mean / i).alias("c"), i.cast("int").alias("n"))
+        F.struct((a["p"] * rate / i).alias("p"), (a["c"] + a["p"] * rate / i).alias("c"), i.cast("int").alias("n"))
     )
-    drawn = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda a: a["n"])
-    return (whole.cast("int") + drawn).cast("int")
+    drawn = F.aggregate(F.sequence(low + 1, high), start, step, lambda a: a["n"])
+    return F.when(u <= 0, F.lit(0)).otherwise(drawn).cast("int")
 
 
 def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: float = 1.0, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:

@@ -112,6 +112,30 @@ def test_poisson_inverse_against_the_distribution(spark):
         assert [r.n for r in got] == [min(k for k, c in want.items() if c > u) for u in us]
 
 
+@pytest.mark.parametrize("rate", [33.0, 300.0, 511.9, 513.5, 5000.0])
+def test_poisson_inverse_of_high_rates(spark, rate):
+    import math
+
+    from pyspark.sql import functions as F
+
+    n = 2000
+    us = [(i + 0.5) / n for i in range(n)]
+    got = [r.n for r in spark.createDataFrame([(u,) for u in us], "u double").select(mixing.poisson_inverse(F.col("u"), F.lit(rate)).alias("n")).collect()]
+    low, high = int(max(0, rate - 12 * rate**0.5)), int(rate + 12 * rate**0.5)
+    cum = np.cumsum([math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(low, high)])
+    want = low + np.searchsorted(cum, us, side="right")
+    assert np.array_equal(got, want)
+    assert np.mean(got) == pytest.approx(rate, rel=1e-3) and np.var(got) == pytest.approx(rate, rel=0.02)
+
+
+def test_mixing_of_a_small_source_beside_a_large_one(spark):
+    docs = documents(spark, ["t"] * 4040, sources=["small"] * 40 + ["large"] * 4000)
+    weights = {"small": 2.0, "large": 1.0}  # the small source's rate is 67
+    copies = Counter(r.doc_id for r in mixing.mix(docs, weights=weights).filter("source = 'small'").collect())
+    rate = next(r.repetition_rate for r in mixing.source_rates(docs, weights=weights).collect() if r.source == "small")
+    assert 0.4 * rate < np.var(list(copies.values())) < 2 * rate and min(copies.values()) < rate - 16
+
+
 def test_mixing_odd_rows(spark):
     docs = documents(spark, odd_texts(), ids=[None, 1, 2, 3, 3, 5, 6], sources=[None, "a", "a", "b", "b", "b", "b"])
     a = mixing.mix(with_clashes(docs, "copy", "extra"), temperature=1.0).collect()

@@ -148,24 +148,58 @@ def _pick(rows: list, order, used: list, n: int, requirements=()) -> list:
     return out
 
 
-def case_manifest(scored: DataFrame, n: int = CASES_PER_KIND, keep: int = 200) -> DataFrame:
-    """Random, typical and high-impact cases.  Only the first ``keep`` rows of each stratum
-    in each of the three orders reach the driver: a stratum gives at most ``n`` of them."""
-    stratum = ["sector", "activity"]
-    order = lambda *c: F.row_number().over(Window.partitionBy(*stratum).orderBy(*c)) <= keep
-    near = scored.withColumns({"_a": order("hash"), "_b": order("typical", "hash"), "_c": order(F.desc("impact"), "hash")}).filter("_a or _b or _c")
-    rows = [r.asDict() for r in near.drop("_a", "_b", "_c").collect()]
+#: What each kind may take, as a condition in Spark and on a driver's row, and its order.
+_NEEDS = (("events <= 3", lambda r: r["events"] <= 3), ("one_sided_day", lambda r: r["one_sided_day"]), ("unknown_rate > 0", lambda r: r["unknown_rate"] > 0))
+_SHIFTED = ("max_center_effect_bps > 1e-9 or coverage_loss_fraction > 0", lambda r: (r["max_center_effect_bps"] or 0) > 1e-9 or (r["coverage_loss_fraction"] or 0) > 0)
+
+
+def picked_cases(rows: list, n: int) -> list:
+    """(kind, place, row) of the greedy pick of all kinds."""
     used: list = []
     kinds = (
-        ("Random", lambda r: r["hash"], rows, (lambda r: r["events"] <= 3, lambda r: r["one_sided_day"], lambda r: r["unknown_rate"] > 0)),
+        ("Random", lambda r: r["hash"], rows, [need for _, need in _NEEDS]),
         ("Typical", lambda r: (r["typical"], r["hash"]), rows, ()),
-        ("High impact", lambda r: (-r["impact"], r["hash"]), [r for r in rows if (r["max_center_effect_bps"] or 0) > 1e-9 or (r["coverage_loss_fraction"] or 0) > 0], ()),
+        ("High impact", lambda r: (-r["impact"], r["hash"]), [r for r in rows if _SHIFTED[1](r)], ()),
     )
     out = []
     for kind, key, pool, needs in kinds:
         found = _pick(pool, key, used, n, needs)
         used += found
-        out += [(kind, i + 1, r["case_id"], r["firm"], r["cusip"], r["side"], str(r["day"]), r["sector"], r["activity"]) for i, r in enumerate(found)]
+        out += [(kind, i + 1, r) for i, r in enumerate(found)]
+    return out
+
+
+def _first_free(pool: DataFrame, key, n: int) -> DataFrame:
+    """Rows of each stratum that hold the first one in order of ``key`` that is left, whatever at most
+    3 n cases are taken and whatever dealers and issuers have two of them.
+
+    At most 3 n / 2 dealers and as many issuers are barred.  So the first free row is among the
+    first 3 n + 1 of its dealer and issuer; that pair is among the first ``most`` issuers of its dealer and
+    the first ``most`` dealers of its issuer; and of such pairs at most 3 n * most are
+    barred, 3 n taken."""
+    taken, barred = 3 * n, 3 * n // 2
+    most = barred + taken + 1
+    stratum = ["sector", "activity"]
+    over = lambda *c: Window.partitionBy(*stratum, *c)
+    x = pool.withColumn("_k", key)
+    x = x.withColumns({"_any": F.row_number().over(over().orderBy("_k")), "_own": F.row_number().over(over("firm", "issuer").orderBy("_k")), "_first": F.min("_k").over(over("firm", "issuer"))})
+    x = x.filter((F.col("_own") <= taken + 1) | (F.col("_any") <= taken + 1))
+    x = x.withColumns({"_i": F.dense_rank().over(over("firm").orderBy("_first")), "_f": F.dense_rank().over(over("issuer").orderBy("_first"))})
+    near = (F.col("_own") <= taken + 1) & (F.col("_i") <= most) & (F.col("_f") <= most)
+    x = x.withColumn("_near", near).filter(F.col("_near") | (F.col("_any") <= taken + 1))
+    x = x.withColumn("_p", F.dense_rank().over(over("_near").orderBy("_first")))
+    return x.filter((F.col("_near") & (F.col("_p") <= 2 * barred * most + taken + 1)) | (F.col("_any") <= taken + 1)).select(*pool.columns)
+
+
+def case_manifest(scored: DataFrame, n: int = CASES_PER_KIND) -> DataFrame:
+    """Random, typical and high-impact cases.  Of each stratum only rows that the pick can reach
+    come to the driver, a number that depends on ``n`` alone; the result is that of all rows."""
+    scored = scored.persist()
+    random, typical, impact = F.struct("hash"), F.struct("typical", "hash"), F.struct((-F.col("impact")).alias("i"), "hash")
+    parts = [_first_free(scored, random, n), *(_first_free(scored.filter(c), random, n) for c, _ in _NEEDS), _first_free(scored, typical, n), _first_free(scored.filter(_SHIFTED[0]), impact, n)]
+    rows = list({r["case_id"]: r.asDict() for part in parts for r in part.collect()}.values())
+    scored.unpersist()
+    out = [(kind, i, r["case_id"], r["firm"], r["cusip"], r["side"], str(r["day"]), r["sector"], r["activity"]) for kind, i, r in picked_cases(rows, n)]
     return scored.sparkSession.createDataFrame(out, "kind string, place int, case_id string, firm string, cusip string, side string, day string, sector string, activity string")
 
 

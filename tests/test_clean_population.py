@@ -103,6 +103,22 @@ def test_cases_are_deterministic(spark):
     assert make(e) == make(e.repartition(3)) and len({r["case_id"] for r in make(e)}) == len(make(e))
 
 
+def test_cases_equal_the_pick_from_all_rows(spark):
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for i in range(2500):  # a hot dealer and a hot issuer stand first in every order
+        hot = i % 25 > 0
+        firm, issuer = (("HOT", f"I{r.randrange(40)}") if i % 2 else (f"D{r.randrange(40)}", "HOT")) if hot else (f"D{r.randrange(40)}", f"I{r.randrange(40)}")
+        rows.append((f"c{i}", firm, f"b{i}", "bid", "2026-03-02", issuer, "S", "4-30", 9, i == 2450, float(i == 2475), f"{0 if hot else 1}{r.randrange(10**9):09d}{i}", 0.0 if hot else 1.0, 2.0 if hot else 1.0, 1.0, 0.0))
+    names = "case_id firm cusip side day issuer sector activity events one_sided_day unknown_rate hash typical impact max_center_effect_bps coverage_loss_fraction".split()
+    want = [(k, i, x["case_id"]) for k, i, x in population.picked_cases([dict(zip(names, row, strict=True)) for row in rows], 3)]
+    got = population.case_manifest(spark.createDataFrame(rows, names), 3).collect()
+    assert [(x["kind"], x["place"], x["case_id"]) for x in got] == want
+    assert {"c2450", "c2475"} <= {x["case_id"] for x in got}
+
+
 def test_stream_of_events_matches_batch(spark, tmp_path):
     from pyspark.sql import functions as F
 

@@ -29,7 +29,7 @@ def state_families(frame: DataFrame) -> DataFrame:
     dealers = F.col("bcq_bid_n_dealers") + F.col("bcq_ask_n_dealers")
     yes = lambda c: F.when(c.isNull(), "Unknown").when(c > 0, "Some").otherwise("None")
     families: dict[str, Column] = {
-        "quote_state": F.when(F.col("bcq_has_quote") == 0, "No quote").when((F.col("bcq_bid_n_dealers") > 0) & (F.col("bcq_ask_n_dealers") > 0), "Two-sided").otherwise("One-sided"),
+        "support_state": F.when(F.col("bcq_is_quoted") == 0, "Unquoted").when((F.col("bcq_bid_n_dealers") > 0) & (F.col("bcq_ask_n_dealers") > 0), "Two-sided").otherwise("One-sided"),
         "dealer_support": bins(dealers, *DEALER_BINS),
         "peer_support": bins(F.col("bcq_bid_n_peer_supported") + F.col("bcq_ask_n_peer_supported"), *DEALER_BINS),
         "paired_support": bins(F.col("bcq_n_pair"), *DEALER_BINS),

@@ -1,4 +1,4 @@
-"""Set-valued quote events and their causal history.
+"""Set-valued dealer events and their causal history.
 
 Rows with the same firm, cusip, side and time are one event that holds the *set* of its
 distinct spreads.  History looks backward only, within one series and day.
@@ -35,7 +35,7 @@ def unkeyed_count(quotes: DataFrame) -> DataFrame:
     return quotes.agg(F.count("*").alias("raw_rows")).crossJoin(keyed(quotes).agg(F.count("*").alias("keyed_rows"))).select("raw_rows", (F.col("raw_rows") - F.col("keyed_rows")).alias("unkeyed_rows"))
 
 
-def quote_events(quotes: DataFrame) -> DataFrame:
+def dealer_events(quotes: DataFrame) -> DataFrame:
     """One row per event.  Full-row repeats are counted over every column of ``quotes``:
     equal rows are combined first, on the map side, with their number."""
     source = quotes.columns
@@ -117,8 +117,8 @@ def event_history(events: DataFrame) -> DataFrame:
     return d.drop(*(c for c in d.columns if c.startswith("_")))
 
 
-def prepare_quote_events(quotes: DataFrame) -> DataFrame:
-    return event_history(quote_events(quotes))
+def prepare_events(quotes: DataFrame) -> DataFrame:
+    return event_history(dealer_events(quotes))
 
 
 def quantity_kinds(quotes: DataFrame) -> DataFrame:

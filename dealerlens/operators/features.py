@@ -20,7 +20,7 @@ def check_queries(queries: DataFrame) -> DataFrame:
     return queries
 
 
-def quote_features(events: DataFrame, queries: DataFrame, *, age_min: float = AGE_MIN, sync_min: float = SYNC_MIN, exact: bool = True, prefix: str = "bcq_") -> DataFrame:
+def point_features(events: DataFrame, queries: DataFrame, *, age_min: float = AGE_MIN, sync_min: float = SYNC_MIN, exact: bool = True, prefix: str = "bcq_") -> DataFrame:
     """``queries`` (row_id, cusip, ns, day) with the 62 features; counts without support are
     0, values NULL.  States are computed once per distinct (cusip, ns)."""
     sides = side_features(slots(events, queries, exact=exact), age_min)
@@ -29,4 +29,4 @@ def quote_features(events: DataFrame, queries: DataFrame, *, age_min: float = AG
     out = queries.join(wide, ["cusip", "ns"], "left").join(pairs, ["cusip", "ns"], "left")
     counts = [f"{prefix}{side}_{c}" for side in ("bid", "ask") for c in COUNTS] + [prefix + c for c in PAIR_COUNTS]
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in counts})
-    return out.withColumn(f"{prefix}has_quote", (F.col(f"{prefix}bid_n_dealers") + F.col(f"{prefix}ask_n_dealers") > 0).cast("double"))
+    return out.withColumn(f"{prefix}is_quoted", (F.col(f"{prefix}bid_n_dealers") + F.col(f"{prefix}ask_n_dealers") > 0).cast("double"))

@@ -44,7 +44,7 @@ def event_population(events: DataFrame, universe: DataFrame) -> DataFrame:
     x = _by_scope(units)
     affected = F.col("multi_events") > 0
     base = x.groupBy("scope", "entity").agg(
-        *(F.sum(c).alias(c) for c in sums), F.count_distinct("issuer").alias("observed_issuers"), F.count_distinct("firm").alias("observed_dealers"), F.count_distinct("cusip").alias("keyed_quote_bonds"),
+        *(F.sum(c).alias(c) for c in sums), F.count_distinct("issuer").alias("observed_issuers"), F.count_distinct("firm").alias("observed_dealers"), F.count_distinct("cusip").alias("keyed_bonds"),
         F.count_distinct("cusip", "day").alias("observed_bond_days"), F.count_distinct(F.when(affected, F.struct("cusip", "day"))).alias("affected_bond_days"),
         F.count("*").alias("dealer_bond_side_days"), F.count_if(affected).alias("affected_dealer_bond_side_days"), F.avg(F.col("multi_events") / F.col("events")).alias("unit_equal_multi_rate"),
     )
@@ -78,10 +78,10 @@ def trade_day_coverage(trades: DataFrame, quotes: DataFrame, universe: DataFrame
     d = days.join(seen, ["cusip", "day"], "left").join(F.broadcast(span), F.lit(True))
     g = _by_scope(d, dealer=False).groupBy("scope", "entity")
     return g.agg(
-        F.count_distinct("cusip").alias("traded_bonds"), F.count_distinct("issuer").alias("traded_issuers"), F.count("*").alias("traded_bond_days"), F.count_if("_quoted").alias("quote_covered_traded_bond_days"),
+        F.count_distinct("cusip").alias("traded_bonds"), F.count_distinct("issuer").alias("traded_issuers"), F.count("*").alias("traded_bond_days"), F.count_if("_quoted").alias("covered_traded_bond_days"),
         F.count_distinct(F.when(F.col("_quoted"), F.col("cusip"))).alias("covered_bonds"), F.count_if((F.col("day") < F.col("_low")) | (F.col("day") > F.col("_high"))).alias("outside_file_window_trade_days"),
-        F.count_if(F.col("_low").isNull()).alias("unknown_quote_window_trade_days"),
-    ).withColumn("day_coverage", F.col("quote_covered_traded_bond_days") / F.col("traded_bond_days"))
+        F.count_if(F.col("_low").isNull()).alias("unknown_window_trade_days"),
+    ).withColumn("day_coverage", F.col("covered_traded_bond_days") / F.col("traded_bond_days"))
 
 
 def case_candidates(events: DataFrame, universe: DataFrame) -> DataFrame:

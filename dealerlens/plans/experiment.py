@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import EMBARGO_DAYS, MIN_TRAIN_DAYS, TEST_DAYS, VALIDATION_DAYS
 from ..operators.pairs import PAIR_FEATURES
 
-VERSIONS = ["Base", "Quote levels", "Reliability", "Age decay", "Max age", "Candidate clip", "Dealer downweight", "Paired"]
+VERSIONS = ["Base", "Price levels", "Reliability", "Age decay", "Max age", "Candidate clip", "Dealer downweight", "Paired"]
 RELIABILITY = ["n_dealers", "n_fresh_dealers", "n_incomplete", "dispersion_bps", "mean_candidate_gap", "median_message_age_min", "median_change_age_min", "unknown_change_age_fraction", "multi_fraction"]
 #: What a version takes in place of the equal center.
 LEVEL = {"Age decay": "center_decay", "Max age": "center_max_age", "Candidate clip": "center_candidate_clip", "Dealer downweight": "center_dealer_downweight"}
@@ -44,12 +44,12 @@ def version_columns(version: str) -> dict[str, Column]:
         center = F.col(f"bcq_{s}_{LEVEL.get(version, 'center_equal')}")
         out[f"{s}_level"] = center
         out[f"{s}_anchor_gap"] = center - 100 * F.col("prev_bm_spread")
-    supported = F.col("bcq_has_quote")
+    supported = F.col("bcq_is_quoted")
     if version == "Max age":
         fresh = F.col("bcq_bid_n_fresh_dealers") + F.col("bcq_ask_n_fresh_dealers")
         supported = (fresh > 0).cast("double")
-    out["has_quote"] = supported
-    if version != "Quote levels":
+    out["is_quoted"] = supported
+    if version != "Price levels":
         for s in ("bid", "ask"):
             for c in RELIABILITY:
                 source = "n_fresh_dealers" if version == "Max age" and c == "n_dealers" else c
@@ -65,7 +65,7 @@ def model_frame(features: DataFrame, version: str) -> DataFrame:
 
 def reference_of(version: str) -> str:
     """The version against which a version is judged."""
-    return {"Base": "Base", "Quote levels": "Base", "Reliability": "Quote levels", "Age decay + Direction": "Age decay", "Age decay + Issuer": "Age decay"}.get(version, "Reliability")
+    return {"Base": "Base", "Price levels": "Base", "Reliability": "Price levels", "Age decay + Direction": "Age decay", "Age decay + Issuer": "Age decay"}.get(version, "Reliability")
 
 
 def check_comparison(frame: DataFrame, stage: str, least_train: int = 20) -> None:
@@ -74,7 +74,7 @@ def check_comparison(frame: DataFrame, stage: str, least_train: int = 20) -> Non
         raise ValueError("stage is Validation or Test")
     r = frame.agg(
         F.count_if(F.col("split") == "Train").alias("train"), F.count_if(F.col("split") == stage).alias("n"), F.max(F.when(F.col("split") == "Train", F.col("ns"))).alias("last"),
-        F.min(F.when(F.col("split") == stage, F.col("ns"))).alias("first"), F.max(F.when(F.col("split") == "Train", F.col("bcq_has_quote"))).alias("a"), F.max(F.when(F.col("split") == stage, F.col("bcq_has_quote"))).alias("b"),
+        F.min(F.when(F.col("split") == stage, F.col("ns"))).alias("first"), F.max(F.when(F.col("split") == "Train", F.col("bcq_is_quoted"))).alias("a"), F.max(F.when(F.col("split") == stage, F.col("bcq_is_quoted"))).alias("b"),
     ).first()
     if r["train"] < least_train or not r["n"]:
         raise ValueError("too few rows to train or to evaluate")

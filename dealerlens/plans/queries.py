@@ -30,7 +30,7 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def history(spark, d, **view) -> DataFrame:
-    return events.prepare_quote_events(quotes_view(spark, d, **view))
+    return events.prepare_events(quotes_view(spark, d, **view))
 
 
 BASE = [sql.quotes(), sql.trades(), sql.EVENTS, sql.HISTORY]
@@ -44,9 +44,9 @@ def day_text(df: DataFrame) -> DataFrame:
 EVENT_VALUES = ["lo", "hi", "center", "gap", "center_nearest_gap"]
 
 
-@register("quote_events", sql.query(*BASE[:3], select=f"""SELECT {KEY}, "rows", CAST(repeats AS BIGINT) AS repeats, CAST(bad AS BIGINT) AS bad, array_to_string(list_transform(spread_set, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS spread_set, candidate_count, {sql.rounded(*EVENT_VALUES)}, complete FROM ev"""))
-def quote_events(spark, d):
-    e = day_text(events.quote_events(quotes_view(spark, d)))
+@register("dealer_events", sql.query(*BASE[:3], select=f"""SELECT {KEY}, "rows", CAST(repeats AS BIGINT) AS repeats, CAST(bad AS BIGINT) AS bad, array_to_string(list_transform(spread_set, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS spread_set, candidate_count, {sql.rounded(*EVENT_VALUES)}, complete FROM ev"""))
+def dealer_events(spark, d):
+    e = day_text(events.dealer_events(quotes_view(spark, d)))
     text = F.array_join(F.transform("spread_set", lambda x: x.cast("bigint").cast("string")), ",")
     return rounded(e.withColumn("spread_set", text).drop("quantity_set", "pair_set"), *EVENT_VALUES)
 
@@ -80,7 +80,7 @@ def group_quotes(spark, d):
   len(list_filter(quantity_set, lambda t: t = 'Missing' OR starts_with(t, 'Other:'))) > 0 AS has_unknown, CAST(len(quantity_set) AS INTEGER) AS n_quantity FROM ev LEFT JOIN sp USING (firm, cusip, side, ns))""",
   select=f"SELECT {KEY}, multi, same_positive_multi, has_zero, all_zero, has_unknown, n_quantity, {QCLASS} FROM a"))
 def qclass_events(spark, d):
-    e = events.annotated_events(events.quote_events(quotes_view(spark, d)))
+    e = events.annotated_events(events.dealer_events(quotes_view(spark, d)))
     return day_text(e).select("firm", "cusip", "side", "ns", "day", "multi", "same_positive_multi", "has_zero", "all_zero", "has_unknown", "n_quantity", "qclass")
 
 
@@ -94,7 +94,7 @@ def quantity_evidence(spark, d):
 
 def _asof(exact: bool):
     def run(spark, d):
-        e = events.quote_events(quotes_view(spark, d))
+        e = events.dealer_events(quotes_view(spark, d))
         return rounded(day_text(asof.asof(e, trades_view(spark, d), ["complete", "center", "candidate_count"], exact=exact)), "age_min", "center")
 
     return run
@@ -159,13 +159,13 @@ def _feature_sql() -> str:
     out = [f"round(bcq_{s}_{c}, 6) AS bcq_{s}_{c}" for s in ("bid", "ask") for c in side.VALUES]
     out += [f"coalesce(bcq_{s}_{c}, 0) AS bcq_{s}_{c}" for s in ("bid", "ask") for c in side.COUNTS]
     out += [f"coalesce({c}, 0) AS bcq_{c}" for c in features.PAIR_COUNTS] + [f"round({c}, 6) AS bcq_{c}" for c in PAIR_MEANS]
-    out.append("CAST(coalesce(bcq_bid_n_dealers, 0) + coalesce(bcq_ask_n_dealers, 0) > 0 AS DOUBLE) AS bcq_has_quote")
+    out.append("CAST(coalesce(bcq_bid_n_dealers, 0) + coalesce(bcq_ask_n_dealers, 0) > 0 AS DOUBLE) AS bcq_is_quoted")
     return sql.query(*SIDE_SQL, sql.PAIRS, f"wide AS (SELECT cusip, ns, {wide} FROM side GROUP BY ALL)", select=f"SELECT row_id, t.cusip, t.ns, {', '.join(out)} FROM trades t LEFT JOIN wide USING (cusip, ns) LEFT JOIN pf USING (cusip, ns)")
 
 
 @register("query_features", _feature_sql())
 def query_features(spark, d):
-    f = features.quote_features(history(spark, d), trades_view(spark, d).select("row_id", "cusip", "ns", "day")).drop("day")
+    f = features.point_features(history(spark, d), trades_view(spark, d).select("row_id", "cusip", "ns", "day")).drop("day")
     return rounded(f, *(f"bcq_{s}_{c}" for s in ("bid", "ask") for c in side.VALUES), *(f"bcq_{c}" for c in PAIR_MEANS))
 
 
@@ -180,7 +180,7 @@ WIDE_BASE = [sql.quotes(6, 3), sql.trades(6), sql.EVENTS]
 
 
 def _moves(spark, d):
-    e, t = events.quote_events(quotes_view(spark, d, **WIDE)), trades_view(spark, d, bonds=6)
+    e, t = events.dealer_events(quotes_view(spark, d, **WIDE)), trades_view(spark, d, bonds=6)
     return e, t
 
 
@@ -225,7 +225,7 @@ COMPOSITION = ["aggregate_delta_30m", "common_dealer_delta_30m", "center_delta_3
   CASE WHEN n_past > 0 THEN n_common_dealers_30m / n_past END AS past_common_retention_30m, CASE WHEN n_common_dealers_30m > 0 THEN ch / n_common_dealers_30m END AS common_condition_changed_fraction_30m FROM comp2)""",
   select=f"SELECT cusip, ns, side, n_now, n_past, n_common_dealers_30m, composition_changed_30m, {sql.rounded(*COMPOSITION)} FROM comp3"))
 def composition_30m(spark, d):
-    e = events.quote_events(quotes_view(spark, d))
+    e = events.dealer_events(quotes_view(spark, d))
     return rounded(movement.composition_30m(e, trades_view(spark, d)).drop("day"), *COMPOSITION)
 
 
@@ -319,7 +319,7 @@ def population_raw(spark, d):
 
 @register("trade_day_coverage", sql.query(sql.quotes(), sql.trades(), sql_more.UNIVERSE, """td AS (SELECT DISTINCT cusip, day FROM trades), tq AS (SELECT DISTINCT cusip, day, true AS quoted FROM quotes),
   tc AS (SELECT td.*, u.issuer, u.sector, coalesce(quoted, false) AS quoted, (SELECT min(day) FROM quotes) AS low, (SELECT max(day) FROM quotes) AS high FROM td JOIN universe u USING (cusip) LEFT JOIN tq USING (cusip, day))""", sql_more.by_scope("tc", "sc", dealer=False),
-  select="SELECT scope, entity, count(DISTINCT cusip) AS traded_bonds, count(DISTINCT issuer) AS traded_issuers, count(*) AS traded_bond_days, count(*) FILTER (WHERE quoted) AS quote_covered_traded_bond_days, count(DISTINCT cusip) FILTER (WHERE quoted) AS covered_bonds, count(*) FILTER (WHERE day < low OR day > high) AS outside_file_window_trade_days, count(*) FILTER (WHERE low IS NULL) AS unknown_quote_window_trade_days, round(count(*) FILTER (WHERE quoted) / count(*), 6) AS day_coverage FROM sc GROUP BY scope, entity"))
+  select="SELECT scope, entity, count(DISTINCT cusip) AS traded_bonds, count(DISTINCT issuer) AS traded_issuers, count(*) AS traded_bond_days, count(*) FILTER (WHERE quoted) AS covered_traded_bond_days, count(DISTINCT cusip) FILTER (WHERE quoted) AS covered_bonds, count(*) FILTER (WHERE day < low OR day > high) AS outside_file_window_trade_days, count(*) FILTER (WHERE low IS NULL) AS unknown_window_trade_days, round(count(*) FILTER (WHERE quoted) / count(*), 6) AS day_coverage FROM sc GROUP BY scope, entity"))
 def trade_day_coverage(spark, d):
     t = trades_view(spark, d)
     return rounded(population.trade_day_coverage(t, quotes_view(spark, d), population.bond_universe(t)), "day_coverage")
@@ -366,7 +366,7 @@ def chronological_split(spark, d):
 def _frame(spark, d):
     t = trades_view(spark, d)
     split = experiment.chronological_split(t).drop("day")
-    return features.quote_features(history(spark, d), t).join(split, "row_id")
+    return features.point_features(history(spark, d), t).join(split, "row_id")
 
 
 def _version_sql(version: str) -> str:
@@ -378,13 +378,13 @@ def _version_sql(version: str) -> str:
         out += [f"round({s}_level, 6) AS {s}_level", f"round({s}_level - 100 * prev_bm_spread, 6) AS {s}_anchor_gap"]
         out += [f"coalesce({s}_{c}, 0) AS {s}_{c}" if c.startswith("n_") else f"round({s}_{c}, 6) AS {s}_{c}" for c in experiment.RELIABILITY]
     k = "f" if version == "Max age" else "d"
-    return sql.query(*SIDE_SQL, f"wide AS (SELECT cusip, ns, {', '.join(wide)} FROM side GROUP BY ALL)", select=f"SELECT row_id, round(prev_bm_spread, 6) AS prev_bm_spread, quantity, trade_type, CAST(coalesce(bid_{k}, 0) + coalesce(ask_{k}, 0) > 0 AS DOUBLE) AS has_quote, {', '.join(out)} FROM trades t LEFT JOIN wide USING (cusip, ns)")
+    return sql.query(*SIDE_SQL, f"wide AS (SELECT cusip, ns, {', '.join(wide)} FROM side GROUP BY ALL)", select=f"SELECT row_id, round(prev_bm_spread, 6) AS prev_bm_spread, quantity, trade_type, CAST(coalesce(bid_{k}, 0) + coalesce(ask_{k}, 0) > 0 AS DOUBLE) AS is_quoted, {', '.join(out)} FROM trades t LEFT JOIN wide USING (cusip, ns)")
 
 
 def _version(version: str):
     def run(spark, d):
         t = trades_view(spark, d)
-        f = experiment.model_frame(features.quote_features(history(spark, d), t), version)
+        f = experiment.model_frame(features.point_features(history(spark, d), t), version)
         return rounded(f, "prev_bm_spread", *(f"{s}_{c}" for s in ("bid", "ask") for c in ("level", "anchor_gap", *(c for c in experiment.RELIABILITY if not c.startswith("n_")))))
 
     return run
@@ -421,7 +421,7 @@ def _bins_sql(c: str, cuts: str) -> str:
 
 
 def _diagnostics_sql() -> str:
-    d = {"quote_state": "CASE WHEN bid_n + ask_n = 0 THEN 'No quote' WHEN bid_n > 0 AND ask_n > 0 THEN 'Two-sided' ELSE 'One-sided' END", "dealer_support": _bins_sql("(bid_n + ask_n)", "DEALER_BINS"), "peer_support": _bins_sql("(bid_p + ask_p)", "DEALER_BINS"), "paired_support": _bins_sql("n_pair", "DEALER_BINS"),
+    d = {"support_state": "CASE WHEN bid_n + ask_n = 0 THEN 'Unquoted' WHEN bid_n > 0 AND ask_n > 0 THEN 'Two-sided' ELSE 'One-sided' END", "dealer_support": _bins_sql("(bid_n + ask_n)", "DEALER_BINS"), "peer_support": _bins_sql("(bid_p + ask_p)", "DEALER_BINS"), "paired_support": _bins_sql("n_pair", "DEALER_BINS"),
          "issuer_trade_count": "CASE WHEN per_issuer <= 20 THEN '1-20' WHEN per_issuer <= 100 THEN '21-100' WHEN per_issuer <= 500 THEN '101-500' ELSE '500+' END", "SECTOR": "coalesce(sector, 'Unknown')", "trade_size": _bins_sql("quantity", "SIZE_BINS"), "trade_type": "coalesce(trade_type, 'Unknown')"}
     for s in ("bid", "ask"):
         yes = lambda c: f"CASE WHEN {c} IS NULL THEN 'Unknown' WHEN {c} > 0 THEN 'Some' ELSE 'None' END"
@@ -440,14 +440,14 @@ def _diagnostics_sql() -> str:
 
 @register("error_diagnostics", _diagnostics_sql())
 def error_diagnostics(spark, d):
-    f = features.quote_features(history(spark, d), trades_view(spark, d))
+    f = features.point_features(history(spark, d), trades_view(spark, d))
     return rounded(diagnostics.state_diagnostics(f, predictions_view(spark, d), "Age decay", "Reliability"), *DIAG)
 
 
 @register("rule_shifts", sql.query(*SIDE_SQL, "rs AS (" + " UNION ALL ".join(f"SELECT coalesce(t.sector, 'Unknown') AS sector, '{s}' AS side, '{r}' AS rule, " + (f"CASE WHEN coalesce(x.n_peer_supported, 0) > 0 THEN abs(x.{r} - x.center_equal) END" if r in ("center_candidate_clip", "center_dealer_downweight") else f"abs(x.{r} - x.center_equal)") + f" AS shift, CAST(x.center_equal IS NOT NULL AND x.{r} IS NULL AS INTEGER) AS lost FROM trades t LEFT JOIN (SELECT * FROM side WHERE side = '{s}') x USING (cusip, ns)"
   for s in ("bid", "ask") for r in ("center_decay", "center_max_age", "center_candidate_clip", "center_dealer_downweight")) + ")", select="SELECT side, rule, sector, count(shift) AS n, round(median(shift), 6) AS median_shift, round(quantile_cont(shift, 0.95), 6) AS p95_shift, round(avg(lost), 6) AS coverage_loss FROM rs GROUP BY ALL"))
 def rule_shifts(spark, d):
-    f = features.quote_features(history(spark, d), trades_view(spark, d))
+    f = features.point_features(history(spark, d), trades_view(spark, d))
     return rounded(diagnostics.rule_shifts(f), "median_shift", "p95_shift", "coverage_loss")
 
 
@@ -459,12 +459,12 @@ def prediction_problems(spark, d):
 
 @register("event_gap_histogram", sql.query(*BASE[:1], sql.EVENTS, select="SELECT CAST(floor(gap / 2) AS BIGINT) AS bin, count(*) AS n FROM ev WHERE gap IS NOT NULL GROUP BY 1"))
 def event_gap_histogram(spark, d):
-    return diagnostics.histogram(events.quote_events(quotes_view(spark, d)), "gap", 2.0)
+    return diagnostics.histogram(events.dealer_events(quotes_view(spark, d)), "gap", 2.0)
 
 
 @register("event_gap_cdf", sql.query(*BASE[:1], sql.EVENTS, "g AS (SELECT gap AS value, count(*) AS n FROM ev WHERE gap IS NOT NULL GROUP BY 1)", select="SELECT value, n, round(sum(n) OVER (ORDER BY value) / (SELECT sum(n) FROM g), 6) AS share FROM g"))
 def event_gap_cdf(spark, d):
-    return rounded(diagnostics.cdf(events.quote_events(quotes_view(spark, d)), "gap"), "share")
+    return rounded(diagnostics.cdf(events.dealer_events(quotes_view(spark, d)), "gap"), "share")
 
 
 @register("content_key")

@@ -92,7 +92,7 @@ def by_scope(source: str, name: str, dealer: bool = True) -> str:
 
 
 POPULATION = f"""{by_scope("ann", "sa")},
-pop AS (SELECT scope, entity, count(*) AS events, count(*) FILTER (WHERE multi) AS multi_events, count(DISTINCT issuer) AS observed_issuers, count(DISTINCT firm) AS observed_dealers, count(DISTINCT cusip) AS keyed_quote_bonds,
+pop AS (SELECT scope, entity, count(*) AS events, count(*) FILTER (WHERE multi) AS multi_events, count(DISTINCT issuer) AS observed_issuers, count(DISTINCT firm) AS observed_dealers, count(DISTINCT cusip) AS keyed_bonds,
   count(DISTINCT (cusip, day)) AS observed_bond_days, count(DISTINCT (cusip, day)) FILTER (WHERE multi) AS affected_bond_days, count(*) FILTER (WHERE same_positive_multi) AS same_positive_multi_events,
   count(*) FILTER (WHERE has_unknown) AS unknown_quantity_events, count(*) FILTER (WHERE has_zero) AS zero_quantity_events, count(*) FILTER (WHERE NOT complete) AS incomplete_events, CAST(sum(repeats) AS BIGINT) AS repeats,
   count(*) FILTER (WHERE history_break) AS history_breaks, count(*) FILTER (WHERE pair_refresh) AS pair_refreshes, count(*) FILTER (WHERE spread_changed) AS spread_changes, count(*) FILTER (WHERE observed_aba) AS aba_events,

@@ -42,7 +42,7 @@ def make_demo(spark: SparkSession, seed: int = 7) -> tuple[DataFrame, DataFrame,
                         quotes += [row, row] if r.random() < 0.02 else [row]
     meta = [(f"BOND{b:02d}", f"Issuer{b // 8}", 2.0 + b) for b in range(BONDS)]
     return (
-        spark.createDataFrame(quotes, "cusip string, firm string, side string, quote_time timestamp_ntz, spread double, quantity double"),
+        spark.createDataFrame(quotes, "cusip string, firm string, side string, message_time timestamp_ntz, spread double, quantity double"),
         spark.createDataFrame(trades, "cusip string, trade_time timestamp_ntz, bm_spread double, quantity double"),
         spark.createDataFrame(meta, "cusip string, issuer string, years_to_maturity double"),
     )

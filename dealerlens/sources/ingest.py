@@ -1,4 +1,4 @@
-"""Sources: Parquet scans, zone-aware ingest, and the quote and trade views of the test tables."""
+"""Sources: Parquet scans, zone-aware ingest, and the views of quotes and trades of the test tables."""
 
 from __future__ import annotations
 

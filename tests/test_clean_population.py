@@ -70,7 +70,7 @@ def test_snapshot_cache_and_ledger(spark, tmp_path):
     with pytest.raises(ValueError):
         store.load_table(spark, root, name, "quotes")
     built = []
-    build = lambda d: built.append(1) or E.quote_events(d)
+    build = lambda d: built.append(1) or E.dealer_events(d)
     for _ in range(2):
         assert store.cached(spark, root, q, build).count() == 1
     assert len(built) == 1
@@ -91,13 +91,13 @@ def test_zones(spark):
 def test_demo_is_seeded_and_usable(spark):
     q, t, meta = demo.make_demo(spark)
     assert meta.count() == 16 and t.count() == 160
-    e = E.prepare_quote_events(ingest.with_clock(q, "quote_time"))
+    e = E.prepare_events(ingest.with_clock(q, "message_time"))
     assert e.count() > 1000 and e.filter("repeats > 0").count() > 0
 
 
 def test_cases_are_deterministic(spark):
     rows = [(m, f, s, 50 + m % 7 + i, 1) for i, f in enumerate(("A", "B", "C", "D")) for s in ("bid", "ask") for m in range(0, 60, 9)]
-    e = E.prepare_quote_events(quotes(spark, rows))
+    e = E.prepare_events(quotes(spark, rows))
     u = spark.createDataFrame([("X", "I", "S")], "cusip string, issuer string, sector string")
     make = lambda d: rows_of(population.case_manifest(population.scored_cases(population.case_candidates(d, u), population.rule_impacts(d)), 2), "kind", "place")
     assert make(e) == make(e.repartition(3)) and len({r["case_id"] for r in make(e)}) == len(make(e))

@@ -6,7 +6,7 @@ from .helpers import at, day, queries, quotes, rows_of
 
 
 def history(spark, rows):
-    return rows_of(E.prepare_quote_events(quotes(spark, rows)), "firm", "side", "ns")
+    return rows_of(E.prepare_events(quotes(spark, rows)), "firm", "side", "ns")
 
 
 def test_candidate_set_and_repeats(spark):
@@ -44,21 +44,21 @@ def test_quantity_kinds_of_text(spark):
 
 
 def test_large_sizes_collapse_as_doubles(spark):
-    e = E.annotated_events(E.quote_events(quotes(spark, [(0, "A", "bid", 1, 2**54), (0, "A", "bid", 2, 2**54 + 1)]))).first()
+    e = E.annotated_events(E.dealer_events(quotes(spark, [(0, "A", "bid", 1, 2**54), (0, "A", "bid", 2, 2**54 + 1)]))).first()
     assert e["same_positive_multi"] and e["n_quantity"] == 1
 
 
 def test_unkeyed_rows_do_not_make_events(spark):
     q = quotes(spark, [(0, "A", "bid", 1, 2), (0, " ", "bid", 1, 2), (0, None, "bid", 1, 2)])
-    assert E.quote_events(q).count() == 1 and E.unkeyed_count(q).first()["unkeyed_rows"] == 2
+    assert E.dealer_events(q).count() == 1 and E.unkeyed_count(q).first()["unkeyed_rows"] == 2
 
 
 def test_extra_columns_count_for_repeats(spark):
     from pyspark.sql import functions as F
 
     q = quotes(spark, [(0, "A", "bid", 1, 2), (0, "A", "bid", 1, 2)])
-    assert E.quote_events(q).first()["repeats"] == 1
-    assert E.quote_events(q.withColumn("source", F.monotonically_increasing_id())).first()["repeats"] == 0
+    assert E.dealer_events(q).first()["repeats"] == 1
+    assert E.dealer_events(q.withColumn("source", F.monotonically_increasing_id())).first()["repeats"] == 0
 
 
 def test_future_rows_change_nothing_before(spark):
@@ -69,13 +69,13 @@ def test_future_rows_change_nothing_before(spark):
 
 
 def test_empty(spark):
-    assert E.prepare_quote_events(quotes(spark, [])).count() == 0
+    assert E.prepare_events(quotes(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize("strict", [False, True])
 def test_asof_takes_latest_first(spark, strict):
     from dealerlens.operators.asof import asof
 
-    e = E.quote_events(quotes(spark, [(0, "A", "bid", 105, 1), (1, "A", "bid", None, 1), (5, "A", "bid", 7, 1)]))
+    e = E.dealer_events(quotes(spark, [(0, "A", "bid", 105, 1), (1, "A", "bid", None, 1), (5, "A", "bid", 7, 1)]))
     got = rows_of(asof(e, queries(spark, [0, 2, 5]), ["complete", "center"], exact=not strict), "ns")
     assert [(r["complete"], r["age_min"]) for r in got] == ([(False, 1.0), (False, 4.0)] if strict else [(True, 0.0), (False, 1.0), (True, 0.0)])

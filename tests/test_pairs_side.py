@@ -10,7 +10,7 @@ from .helpers import at, queries, quotes, rows_of
 
 
 def events_of(spark, rows):
-    return E.prepare_quote_events(quotes(spark, rows))
+    return E.prepare_events(quotes(spark, rows))
 
 
 def pairs_of(spark, rows, minutes, **options):
@@ -71,10 +71,10 @@ def test_side_features_against_plain_python(spark):
 
 
 def test_features_keep_unsupported_values_null(spark):
-    f = features.quote_features(events_of(spark, [(0, "A", "bid", None, 1)]), queries(spark, [-5, 1]))
+    f = features.point_features(events_of(spark, [(0, "A", "bid", None, 1)]), queries(spark, [-5, 1]))
     a, b = rows_of(f, "ns")
-    assert a["bcq_bid_n_dealers"] == 0 and a["bcq_bid_center_equal"] is None and a["bcq_has_quote"] == 0
-    assert b["bcq_bid_n_incomplete"] == 1 and b["bcq_has_quote"] == 0 and len(f.columns) == 62 + 4
+    assert a["bcq_bid_n_dealers"] == 0 and a["bcq_bid_center_equal"] is None and a["bcq_is_quoted"] == 0
+    assert b["bcq_bid_n_incomplete"] == 1 and b["bcq_is_quoted"] == 0 and len(f.columns) == 62 + 4
 
 
 def test_queries_are_checked(spark):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's
-    ``spark.checkpoint.dir``.  Only where it is unset (tests, one machine) a
+    ``spark.checkpoint.dir``.  Only where it is unset and all runs on one machine (tests) a
     temporary folder is made and set for this session's context."""
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if place is None:
         place = sc.getCheckpointDir()
     if place is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = "file://" + os.path.join(tempfile.gettempdir(), f"dealerlens-{uuid.uuid4().hex}")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(place)
@@ -41,6 +46,32 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def give_back() -> None:
+    """Memory that this worker process has freed goes back to the system, where libc can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *caches: str):
+    """``run`` for ``mapInArrow``; at the end of a task its worker, which Spark keeps for further
+    tasks, empties the ``caches`` ("module:name") and gives its free memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sys
+
+        try:
+            yield from run(batches)
+        finally:
+            for place in caches:
+                module, name = place.split(":")
+                getattr(sys.modules[f"{__package__}.{module}"], name).clear()
+            give_back()
+
+    return whole
+
+
 #: Rows of two bigint columns that may be broadcast (about 16 MB as a relation).
 BROADCAST_ROWS = 400_000
 

@@ -7,9 +7,11 @@ packer whose open bins hang on a bitset keyed by their free space.  A lane close
 its rows end, so the waste beyond best fit is at most one lane's open tail; lanes are
 sized by bytes (adaptive coalescing), so their number follows the data.
 
-Defined results: null and empty texts give one piece that holds the end token only;
-repeated rows are packed each for itself; an empty table gives no rows; a null id is kept;
-extra columns of the input are ignored.
+Defined results: null and empty texts give one piece that holds the end token only; very long
+texts are tokenized whole and cut into pieces only afterwards; repeated rows are packed each for
+itself; pieces of equal length go by id, number and content, and those that agree in all of it are
+alike; an empty table gives no rows; a null id is kept; extra columns of the input, also ones
+named like the added ones, are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._util import lean, table
+
 CAPACITY = 1024
 OPEN_BINS = 16384
 
 # Pre-tokenization pattern and byte alphabet of the byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space beyond one character a gap up to which the rank-based encoder's pattern, which
+#: steps back over runs of it, is sure to have room; texts with more run on ``tokenizers``.
+SPARE_SPACE = 10_000
+
 _encoders: dict[str, Callable[[str], np.ndarray]] = {}
 
 
@@ -43,9 +51,19 @@ def _alphabet() -> dict[str, int]:
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """text -> uint32 ids, as ``tokenizers`` gives them for the JSON file at ``path``
     without special tokens added.  A plain byte-level BPE whose ids follow the merge
-    order runs on the faster rank-based encoder; any other file on ``tokenizers``."""
+    order runs on the faster rank-based encoder; any other file, and every text with very
+    long white space, on ``tokenizers``."""
     if path in _encoders:
         return _encoders[path]
+    loaded: list = []
+
+    def slow(text: str) -> np.ndarray:
+        from tokenizers import Tokenizer
+
+        if not loaded:
+            loaded.append(Tokenizer.from_file(path))
+        return np.asarray(loaded[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -70,15 +88,13 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
         bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
         def encode(text: str) -> np.ndarray:
+            if len(text) > SPARE_SPACE:
+                words = text.split()
+                if len(text) - sum(map(len, words)) - len(words) > SPARE_SPACE:
+                    return slow(text)
             return bpe.encode_to_numpy(text, allowed_special="all")
     else:
-        from tokenizers import Tokenizer
-
-        loaded = Tokenizer.from_file(path)
-
-        def encode(text: str) -> np.ndarray:
-            return np.asarray(loaded.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-
+        encode = slow
     _encoders[path] = encode
     return encode
 
@@ -164,12 +180,13 @@ def pieces(
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def pack(piece_rows: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset``.  Rows are dealt by a hash of id and piece and
-    arrive longest first; that order is total, so a rerun of a lost task repeats its ids."""
+    arrive longest first, by all orderable columns: rows that tie are alike, so a rerun of a lost
+    task repeats its ids."""
     schema = T.StructType([*piece_rows.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +200,8 @@ def pack(piece_rows: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OP
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "sequence_id", "offset"])
 
     dealt = piece_rows.repartition(F.xxhash64("doc_id", "piece", "start", "length"))
-    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece").mapInArrow(run, schema)
+    ties = [c for c in piece_rows.columns if c != "length"]
+    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", *ties).mapInArrow(lean(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, open_bins: int = OPEN_BINS, capacity: int = CAPACITY, **options) -> DataFrame:
@@ -198,6 +216,4 @@ def ids_crc32(ids: np.ndarray) -> int:
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from ._util import table
-
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), piece_columns={"ids_crc32": (ids_crc32, T.LongType())})

@@ -92,6 +92,45 @@ def test_large_families_in_blocks_and_regions(spark, monkeypatch):
     assert [x.component_id for x in got] == label
 
 
+def test_regions_that_are_cut_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "REGION", 3)
+    r = random.Random(11)
+    shared = [f"s{i}" for i in range(60)]  # all texts share it, so that regions are large, but most stay unlinked
+    texts = []
+    for i in range(70):
+        texts.append(" ".join(shared + [f"own{i}x{j}" for j in range(18)]))
+        if i % 5 == 0:
+            words = texts[-1].split()
+            words[r.randrange(len(words))] = "changed"
+            texts.append(" ".join(words))
+    r.shuffle(texts)
+    label, _ = plain_groups(texts, 3, 85, 100)
+    assert 10 <= len(texts) - len(set(label))
+    got = near_dup.near_duplicates(documents(spark, texts), k=3, threshold=(85, 100)).orderBy("doc_id").collect()
+    assert [x.component_id for x in got] == label
+
+
+def test_stretches_end_at_the_shortest_common_prefix():
+    rest = [0x01010101, 0x01010102, 0x01010203, 0x02010101, 0x02010102, 0x02010103]
+    rows = [(1, 0, 9), *((2, x, i) for i, x in enumerate(rest)), (3, 0, 7)]
+    got = list(near_dup._stretches(iter(rows), 4))
+    assert [(p, [i for _, i in part], whole) for p, part, whole in got] == [(1, [9], False), (2, [0, 1, 2], False), (2, [3, 4, 5], False), (3, [7], False)]
+    assert [near_dup.common_prefix(a, b) for a, b in ((5, 5), (5, 6), (0x0100, 0x0200), (1 << 24, 2 << 24))] == [4, 3, 2, 0]
+    assert [whole for _, _, whole in near_dup._stretches(iter([(1, 0, 1), (2, 0, 2), (2, 0, 3), (3, 0, 4)]), 4)] == [False, True, False]
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    base = [f"w{i}" for i in range(40)]
+    near = lambda words, at: " ".join([*words[:at], "x", *words[at + 1 :]])
+    other = [f"v{i}" for i in range(40)]
+    texts = [" ".join(base), " ".join(other), near(base, 39), near(other, 39), "", " ".join(other), "alone"]
+    docs = documents(spark, texts, ids=[2, 3, 5, 5, 5, 9, 11])
+    got = near_dup.near_duplicates(docs, k=3, threshold=(85, 100)).collect()
+    assert {(x.doc_id, x.component_id, x.kept) for x in got} == {(2, 2, True), (3, 2, False), (5, 2, False), (9, 2, False), (11, 11, True)}
+    kept = near_dup.drop_near_duplicates(docs, k=3, threshold=(85, 100))
+    assert sorted(x.doc_id for x in kept.collect()) == [2, 11]
+
+
 def test_near_duplicate_odd_tables(spark):
     assert near_dup.near_duplicates(documents(spark, [])).count() == 0
     got = near_dup.near_duplicates(documents(spark, ["a b c", "a b c", None, "a b c"], ids=[3, 3, 4, None])).collect()

@@ -50,6 +50,11 @@ def test_encoder_equals_tokenizers(text):
     assert packing.encoder(PATH)(text).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 700_000, " \n\t" * 300_000 + "end", "a" * 2_000_000, "x" + " " * 1_100_000 + "y", "!" * 300_000], ids=["spaces", "lines", "mixed", "letter", "gap", "marks"])
+def test_encoder_long_runs(text):
+    assert packing.encoder(PATH)(text).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_special_string_and_other_files():
     for text in ("a <|endoftext|> b", "  x   y\n\n z"):
         assert packing.encoder(PATH)(text).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids

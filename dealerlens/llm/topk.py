@@ -7,46 +7,73 @@ attribute's slices, shifted, through carry-save adders, then one ripple pass giv
 slices of the score.  The top rows are chosen from the most significant slice downward
 with bitmap counts; the rows that tie at the boundary are resolved exactly, by id.
 
-Blocks of queries meet blocks of rows by an equi-join on the query block's number; nothing
-is broadcast or collected, and a pair of blocks gives k rows per query at most.
+Rows are dealt to groups of about ``ROWS_PER_GROUP``, and a group's index is built once, in one task,
+a block at a time.  The queries are sent to every group, arrive behind its rows and stream past
+its index; so what is shuffled is every row once and every query once a group.  A block whose
+attributes' ranges allow no score above the k found so far is passed over.  Nothing is broadcast
+or collected, and a group gives k rows per query at most.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no
-part; shorter vectors count as padded with zeros; an empty table gives no rows; rows with
-the same id are candidates each, but a query meets no row of its own id; repeated query
-rows are answered once; a null id takes no part; a component beyond +-2^22 raises an error rather
-than a wrapped sum.
+part; shorter and longer vectors than others count as padded with zeros; an empty table gives no
+rows; rows with the same id are candidates each, but a query meets no row of its own id; repeated
+query rows of one id are answered once, for the least of their vectors; a null id takes no part; components
+of any finite size are exact: blocks that hold large ones count in Python's integers, and a
+score beyond 64 bits, ranked exactly among its group's, is given as the nearest 64-bit number; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._util import lean, table
+
 ROWS_PER_BLOCK = 16384
-QUERIES_PER_BLOCK = 2048
-LIMIT = 1 << 30
+ROWS_PER_GROUP = 131_072
+#: Quantised components to this size are summed in 64 bits (for up to 2^10 attributes).
+NARROW = 1 << 26
+LONG = (1 << 63) - 1
+
+
+def quantised(vector: np.ndarray, scale: float) -> list[int]:
+    """floor(scale * x) of the components, exactly."""
+    scaled = vector * scale
+    if (np.abs(scaled) < NARROW).all():
+        return np.floor(scaled).astype(np.int64).tolist()
+    return [math.floor(scale * x) if math.isfinite(scale * x) else math.floor(Fraction(scale) * Fraction(x)) for x in vector.tolist()]
 
 
-def quantise(vectors: list, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """(kept positions, int64 matrix of floor(scale * x)) of the vectors that take part."""
-    kept = [i for i, v in enumerate(vectors) if v is not None and None not in v and np.isfinite(np.asarray(v, dtype=np.float64)).all()]
-    width = max((len(vectors[i]) for i in kept), default=0)
-    whole = np.zeros((len(kept), width), dtype=np.int64)
-    for row, i in enumerate(kept):
-        scaled = np.floor(scale * np.asarray(vectors[i], dtype=np.float64))
-        if (np.abs(scaled) > LIMIT).any():
-            raise ValueError("a component is beyond the range of the index")
-        whole[row, : len(scaled)] = scaled
-    return np.asarray(kept, dtype=np.int64), whole
+def vectors_of(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column without nulls."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(flat, ends[:-1])
 
 
 class SlicedBlock:
     """Bit slices of one block of rows.  Attributes are shifted to be non-negative: with
-    m the attribute's least value, x = (x - m) + m, and the constant part is added once."""
+    m the attribute's least value, x = (x - m) + m, and the constant part is added once.
+    ``values`` are int64, or Python's integers where they are large."""
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, np.ndarray]], scale: float) -> SlicedBlock:
+        """The block of (id, vector) rows."""
+        width = max(len(v) for _, v in rows)
+        scaled = np.zeros((len(rows), width))
+        for row, (_, v) in zip(scaled, rows, strict=True):
+            row[: len(v)] = v * scale
+        if width <= 1024 and (np.abs(scaled) < NARROW).all():
+            values = np.floor(scaled).astype(np.int64)
+        else:
+            values = np.zeros((len(rows), width), object)
+            for row, (_, v) in zip(values, rows, strict=True):
+                row[: len(v)] = quantised(v, scale)
+        return cls(np.asarray([i for i, _ in rows], np.int64), values)
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
@@ -54,6 +81,7 @@ class SlicedBlock:
         self.rows, self.width = self.values.shape
         self.words = (self.rows + 63) // 64
         self.low = self.values.min(0) if self.rows else np.zeros(self.width, np.int64)
+        self.high = self.values.max(0) if self.rows else self.low
         shifted = self.values - self.low if self.rows else self.values
         depth = [int(shifted[:, d].max(initial=0)).bit_length() for d in range(self.width)]
         straight = [self._bitmap(shifted[:, d] >> b & 1) for d in range(self.width) for b in range(depth[d])]
@@ -69,7 +97,7 @@ class SlicedBlock:
 
     def weighted_sum(self, weights: np.ndarray) -> tuple[list[np.ndarray], int]:
         """(slices of the score minus its least possible value, that constant)."""
-        base = int(np.dot(weights, self.low)) if self.width else 0
+        base = sum(w * int(x) for w, x in zip(weights.tolist(), self.low, strict=True))
         n = int(self.first[-1])
         chosen: dict[int, list[int]] = {}
         for d, w in enumerate(weights.tolist()):
@@ -97,8 +125,14 @@ class SlicedBlock:
             at += 1
         return total, base
 
-    def top(self, weights: np.ndarray, k: int, own) -> list[tuple[int, int]]:
+    def best_possible(self, weights: list[int]) -> int:
+        return sum(w * int(high if w > 0 else low) for w, low, high in zip(weights, self.low, self.high, strict=False))
+
+    def top(self, weights: list[int], k: int, own) -> list[tuple[int, int]]:
         """The (id, score) of the k best rows whose id is not ``own``; ties to smaller ids."""
+        given = [*weights[: self.width], *[0] * (self.width - len(weights))]
+        narrow = self.values.dtype == np.int64 and all(-NARROW < w < NARROW for w in given)
+        weights = np.asarray(given, np.int64 if narrow else object)
         slices, _ = self.weighted_sum(weights)
         allowed = self.every
         if own is not None:
@@ -120,9 +154,9 @@ class SlicedBlock:
         rows = self._rows(sure)
         if left:
             rows = np.concatenate([rows, self._rows(open_rows)[:left]])
-        scores = self.values[rows] @ weights
-        order = np.lexsort((self.ids[rows], -scores))
-        return [(int(self.ids[rows[i]]), int(scores[i])) for i in order]
+        scores = self.values[rows] @ weights if narrow else (self.values[rows].astype(object) * weights).sum(1)
+        found = [(int(i), int(x)) for i, x in zip(self.ids[rows], scores, strict=True)]
+        return sorted(found, key=lambda f: (-f[1], f[0]))
 
     def _rows(self, bitmap: np.ndarray) -> np.ndarray:
         words = np.flatnonzero(bitmap)
@@ -130,83 +164,69 @@ class SlicedBlock:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def _blocks(rows: DataFrame, size: int, scale: float) -> DataFrame:
-    """The rows as blocks: (number, rows, width, ids, values), the last two int64 bytes."""
+def best_of(blocks: list[SlicedBlock], weights: list[int], k: int, own) -> list[tuple[int, int]]:
+    """The k best of all blocks, with scores as 64-bit numbers."""
+    best: list[tuple[int, int]] = []
+    for block in blocks:
+        if len(best) < k or block.best_possible(weights) >= best[-1][1]:
+            best = sorted([*best, *block.top(weights, k, own)], key=lambda f: (-f[1], f[0]))[:k]
+    return [(i, max(-LONG - 1, min(LONG, x))) for i, x in best]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, list]] = []
-        names = ["rows", "width", "ids", "vals"]
 
-        def emit(part):
-            kept, whole = quantise([v for _, v in part], scale)
-            ids = np.asarray([part[i][0] for i in kept], dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([whole.shape[0]], pa.int64()), pa.array([whole.shape[1]], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([whole.astype(np.int32).tobytes()], pa.binary())], names=names)
+def _usable(v: Column) -> Column:
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    return v.isNotNull() & F.forall(v, finite)
 
-        for batch in batches:
-            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            while len(held) >= size:
-                yield emit(held[:size])
-                held = held[size:]
-        if held:
-            yield emit(held)
-
-    return rows.mapInArrow(run, "rows long, width long, ids binary, vals binary").filter("rows > 0")
-
-
-def _matrix(rows: int, width: int, vals: bytes) -> np.ndarray:
-    return np.frombuffer(vals, dtype=np.int32).reshape(rows, width).astype(np.int64)
-
-
-def exact_top_k(
-    rows: DataFrame,
-    queries: DataFrame,
-    *,
-    k: int = 5,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-    scale: float = 256.0,
-    rows_per_block: int = ROWS_PER_BLOCK,
-    queries_per_block: int = QUERIES_PER_BLOCK,
-) -> DataFrame:
+
+def exact_top_k(rows: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, rows_per_block: int = ROWS_PER_BLOCK, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of the highest score for each query."""
     take = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")]
-    index = _blocks(rows.select(take).filter("id is not null and v is not null"), rows_per_block, scale)
-    asked = queries.select(take).filter("id is not null and v is not null").dropDuplicates(["id"])
-    n_blocks = max(1, -(-asked.count() // queries_per_block))
-    dealt = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).repartition("qb")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for q, key, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(q, []).append((key, vector))
-        for q, part in held.items():
-            kept, whole = quantise([v for _, v in part], scale)
-            ids = np.asarray([part[i][0] for i in kept], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([q], pa.int64()), pa.array([whole.shape[0]], pa.int64()), pa.array([whole.shape[1]], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([whole.astype(np.int32).tobytes()], pa.binary())], names=["qb", "q_rows", "q_width", "q_ids", "q_vals"])
-
-    asked_blocks = dealt.select("qb", "id", "v").mapInArrow(gather, "qb long, q_rows long, q_width long, q_ids binary, q_vals binary")
-    pairs = index.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).join(asked_blocks, "qb")
+    usable = lambda df: df.select(take).filter(F.col("id").isNotNull() & _usable(F.col("v")))
+    indexed = usable(rows)
+    n_groups = max(1, -(-indexed.count() // rows_per_group))
+    asked = usable(queries).groupBy("id").agg(F.min("v").alias("v"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long")))
+    own = indexed.select(F.pmod(F.xxhash64("id", "v"), F.lit(n_groups)).alias("g"), F.lit(0).alias("asks"), "id", "v")
+    dealt = own.unionByName(asked.select(every.alias("g"), F.lit(1).alias("asks"), "id", "v"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks, waiting, out = None, [], [], []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
         for batch in batches:
-            for r in batch.to_pylist():
-                block = SlicedBlock(np.frombuffer(r["ids"], np.int64), _matrix(r["rows"], r["width"], r["vals"]))
-                asked_rows = _matrix(r["q_rows"], r["q_width"], r["q_vals"])
-                weights = np.zeros((len(asked_rows), block.width), np.int64)
-                shared = min(block.width, asked_rows.shape[1])
-                weights[:, :shared] = asked_rows[:, :shared]
-                found = [(q, i, s) for q, w in zip(np.frombuffer(r["q_ids"], np.int64).tolist(), weights, strict=True) for i, s in block.top(w, k, q)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.select("rows", "width", "ids", "vals", "q_rows", "q_width", "q_ids", "q_vals").repartition(F.xxhash64("ids", "q_ids")).mapInArrow(search, "query_id long, vec_id long, score long")
+            columns = [batch.column(c).to_pylist() for c in range(3)]
+            vectors = batch.column(3)
+            at = 0
+            while at < batch.num_rows:
+                end = at + 1  # a run of rows of one group and kind
+                while end < batch.num_rows and columns[0][end] == columns[0][at] and columns[1][end] == columns[1][at]:
+                    end += 1
+                if columns[0][at] != now:
+                    now, blocks, waiting = columns[0][at], [], []
+                part = zip(columns[2][at:end], vectors_of(vectors.slice(at, end - at)), strict=True)
+                if not columns[1][at]:
+                    waiting += part
+                    while len(waiting) >= rows_per_block:
+                        blocks.append(SlicedBlock.of(waiting[:rows_per_block], scale))
+                        waiting = waiting[rows_per_block:]
+                else:
+                    if waiting:
+                        blocks.append(SlicedBlock.of(waiting, scale))
+                        waiting = []
+                    for key, vector in part:
+                        out += [(key, i, s) for i, s in best_of(blocks, quantised(vector, scale), k, key)]
+                        if len(out) > 20_000:
+                            yield made()
+                            out = []
+                at = end
+        yield made()
+
+    ordered = dealt.repartition("g").sortWithinPartitions("g", "asks", "id")
+    found = ordered.mapInArrow(lean(search), "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_exact_top_k(spark, sf_dir: str) -> DataFrame:
-    from ._util import table
-
     rows = table(spark, sf_dir, "embeddings")
     return exact_top_k(rows, rows.filter("vec_id % 50 = 0"))
 

@@ -266,7 +266,7 @@ def test_top_k_over_blocks_and_odd_vectors(spark):
     rows = [(int(i), [float(x) for x in r.normal(size=6)]) for i in range(300)]
     rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, [1.0] * 6), (350, rows[0][1]), (400, [2.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
-    got = topk.exact_top_k(df, df.filter("vec_id % 50 = 0"), rows_per_block=64, queries_per_block=3).orderBy("query_id", "rank").collect()
+    got = topk.exact_top_k(df, df.filter("vec_id % 50 = 0"), rows_per_block=32, rows_per_group=64).orderBy("query_id", "rank").collect()
     good = {i: np.pad(np.floor(256 * np.asarray(v)), (0, 6 - len(v))).astype(int) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
     want = []
     for q in sorted(i for i in good if i % 50 == 0):
@@ -274,3 +274,17 @@ def test_top_k_over_blocks_and_odd_vectors(spark):
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert [tuple(x) for x in got] == want
     assert topk.exact_top_k(df.filter("false"), df.filter("false")).count() == 0
+
+
+def test_top_k_of_repeated_ids_and_large_components(spark):
+    nan = float("nan")
+    rows = [(50, [nan, 1.0]), (50, [1.0, 2.0]), (50, [2.0, 0.0]), (1, [3.0, 1.0]), (2, [1.0, 3.0]), (2, [1.0, 3.0]), (3, [2.0**40, 1.0]), (100, [2.0**300, -1.0]), (4, [0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in topk.exact_top_k(df, df.filter("vec_id % 50 = 0"), rows_per_block=2, rows_per_group=4).orderBy("query_id", "rank").collect()]
+    least, asked = {50: [1, 2], 100: [2**300, -1]}, {}
+    exact = lambda a, b: sum(int(256 * x) * int(256 * y) for x, y in zip(a, b, strict=False))
+    for q, v in least.items():
+        every = sorted(((-exact([int(x * 256) / 256 for x in w], v), i) for i, w in rows if i != q and nan not in w and w[0] == w[0]))
+        asked[q] = [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(every[:5])]
+    assert [x for x in got if x[0] == 50] == asked[50]
+    assert [(x[0], x[1], x[3]) for x in got if x[0] == 100] == [(q, n, s) for q, n, _, s in asked[100]]

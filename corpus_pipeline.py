@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dealerlens.llm import mixing, near_dup, packing, secrets, toxicity
-from dealerlens.llm._util import fresh_path, table
+from dealerlens.llm._util import every_column, free_name, fresh_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out_col="_toxic").filter("_toxic < 0.5").select(*docs.columns)
+    name = free_name(docs, "toxic")
+    return toxicity.score(docs, model, out_col=name).filter(F.col(name) < 0.5).select(*every_column(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +32,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in the text is replaced by a mark, and ``n_chars`` follows."""
-    return secrets.redact(docs, secrets.train(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return secrets.redact(docs, secrets.train(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*every_column(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated towards the target weights of their sources and shuffled."""
-    return mixing.mix(docs).select(*docs.columns)
+    taken = {c.lower() for c in docs.columns} & set(mixing.ADDED)
+    aside = {c: free_name(docs, f"own_{c}") for c in docs.columns if c.lower() in taken}
+    mixed = mixing.mix(docs.withColumnsRenamed(aside))
+    back = {v: k for k, v in aside.items()}
+    return mixed.drop(*mixing.ADDED).withColumnsRenamed(back).select(*every_column(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

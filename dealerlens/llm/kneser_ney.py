@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import doc_key_bucket, fresh_path, table
+from ._util import doc_key_bucket, fresh_path, lean, table
 
 END = xxhash.xxh3_64_intdigest(b" end")  # no word holds a space
 START_ID = 0  # the history of a first word; word ids start at 1
@@ -120,7 +120,7 @@ def _merge(rows: DataFrame, make) -> DataFrame:
             blobs = make(keys, counts)
             yield _blob_batch([(number, len(blobs[0]) // 8, *blobs, *[None] * (4 - len(blobs)))], names)
 
-    return rows.repartition("range").mapInArrow(run, "range long, n long, a binary, b binary, c binary, d binary")
+    return rows.repartition("range").mapInArrow(lean(run), "range long, n long, a binary, b binary, c binary, d binary")
 
 
 def _counts_of_counts(counts: np.ndarray) -> bytes:
@@ -302,7 +302,7 @@ def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_c
 
     blobs = "range long, keys binary, counts binary"
     model = BigramModel()
-    model.words = _publish(_merge(texts.mapInArrow(count_words, blobs), lambda k, c: (k.tobytes(), c.astype(np.uint32).tobytes(), np.int64(c.sum()).tobytes(), (np.cumsum(c) - c).astype(np.int64).tobytes())), "words")
+    model.words = _publish(_merge(texts.mapInArrow(lean(count_words, "kneser_ney:_words"), blobs), lambda k, c: (k.tobytes(), c.astype(np.uint32).tobytes(), np.int64(c.sum()).tobytes(), (np.cumsum(c) - c).astype(np.int64).tobytes())), "words")
     spark = docs.sparkSession
     # One short row per range.
     totals = spark.read.parquet(model.words).select("n", "c").rdd.map(lambda r: (r[0], int(np.frombuffer(r[1], np.int64)[0]))).fold((0, 0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
@@ -332,7 +332,7 @@ def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_c
     def make_pairs(keys: np.ndarray, counts: np.ndarray) -> tuple:
         return keys.tobytes(), counts.astype(np.uint32).tobytes(), _counts_of_counts(counts)
 
-    model.pairs = _publish(_merge(texts.mapInArrow(count_pairs, blobs), make_pairs), "pairs")
+    model.pairs = _publish(_merge(texts.mapInArrow(lean(count_pairs, "kneser_ney:_words"), blobs), make_pairs), "pairs")
     pairs = spark.read.parquet(model.pairs)
     model.pair_types, found = _sums(pairs)
     model.pair_discounts = d = discounts(found)
@@ -390,7 +390,7 @@ def score(docs: DataFrame, model: BigramModel, *, folds: int = FOLDS, held_out:
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fold), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array([model.tokens] * n, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run, "kneser_ney:_words"), schema)
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -12,9 +12,10 @@ own number of documents to the power ``temperature`` as its weight, scaled so th
 such sources together have the share that they have in the input.
 
 Defined results: a null source is a source of its own; null texts, empty texts and null
-ids (hashed as the empty text) are documents like others; repeated rows draw the same
-count each; an empty table gives no rows; extra columns are kept, except that columns
-named as the added ones are replaced.
+ids (hashed as the empty text, so all of them draw alike) are documents like others; very long texts
+and ties need nothing of their own; repeated rows draw the same count each; an empty table gives
+no rows; extra columns are kept, whatever their names, except that columns named as the added ones
+are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import BROADCAST_ROWS, table
+from ._util import BROADCAST_ROWS, every_column, free_name, table
 
 SEED = 2026
 TEMPERATURE = 0.5
@@ -32,6 +33,8 @@ TEMPERATURE = 0.5
 STEPS = 16.0**13
 #: Run of terms for rates to TERMS / 3; beyond it the remaining probability is below 1e-13.
 TERMS = 96
+#: Copies that one array numbers.
+COPIES = 10_000
 #: Rates to this are summed from 0; for higher ones, exp(-rate) nears the end of doubles.
 FROM_ZERO = 512
 ADDED = ("repetition_rate", "copy", "shuffle_key")
@@ -86,14 +89,18 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, temperature
     """The copies, globally shuffled: the columns of ``docs``, ``repetition_rate``, ``copy``
     (from 0) and ``shuffle_key``, by which every partition is in order."""
     rates = source_rates(docs, weights=weights, temperature=temperature, total=total, source_col=source_col)
-    rates = rates.select(F.col("source").alias("_source"), F.col("repetition_rate").alias("_rate"))
+    of_source, rate, count, block = (free_name(docs, x) for x in ("_source", "_rate", "_n", "_block"))
+    rates = rates.select(F.col("source").alias(of_source), F.col("repetition_rate").alias(rate))
     if rates.count() <= BROADCAST_ROWS:
         rates = F.broadcast(rates)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED]
-    drawn = docs.join(rates, docs[source_col].eqNullSafe(F.col("_source")), "left").withColumn("_n", poisson_inverse(uniform(F.col(id_col), seed), F.col("_rate")))
-    copies = drawn.filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    kept = [x for x, c in zip(every_column(docs), docs.columns, strict=True) if c.lower() not in ADDED]
+    drawn = docs.select(kept).join(rates, F.col(source_col).eqNullSafe(F.col(of_source)), "left").withColumn(count, poisson_inverse(uniform(F.col(id_col), seed), F.col(rate)))
+    # In blocks, so that no array is longer than COPIES, however often a document is repeated.
+    blocks = F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / COPIES).cast("int")))
+    numbers = F.explode(F.sequence(F.col(block) * COPIES, F.least(F.col(count), (F.col(block) + 1) * COPIES) - 1))
+    copies = drawn.filter(F.col(count) > 0).withColumn(block, blocks).withColumn("copy", numbers)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")))
-    out = copies.select(*kept, F.col("_rate").alias("repetition_rate"), "copy", key.alias("shuffle_key"))
+    out = copies.select(*kept, F.col(rate).alias("repetition_rate"), "copy", key.alias("shuffle_key"))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

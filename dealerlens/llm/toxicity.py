@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import chosen_by_hash, fold, table
+from ._util import chosen_by_hash, fold, lean, table
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out_buckets: int | None =
         model = fit([r[1] for r in rows], [r[2] for r in rows], orders=orders, bits=bits)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
 
-    got = sample.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "weights binary, bias double").collect()
+    got = sample.select("doc_id", "text", "y").repartition(1).mapInArrow(lean(run), "weights binary, bias double").collect()
     if not got:  # no row reached the fit
         return fit([], [], orders=orders, bits=bits)
     return Model(np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"], tuple(orders), bits)
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
             values = [model.score(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, out_col])
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(lean(run), schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

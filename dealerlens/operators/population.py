@@ -110,6 +110,16 @@ def rule_impacts(events: DataFrame, age_min: float = AGE_MIN) -> DataFrame:
     return f.withColumns({"_e": effect, "_l": lost}).groupBy("cusip", "side", "day").agg(F.max("_e").alias("max_center_effect_bps"), F.avg("_e").alias("mean_center_effect_bps"), F.avg("_l").alias("coverage_loss_fraction"), F.count("*").alias("impact_queries"))
 
 
+def percent_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds ``name``: the percent rank of ``column`` with ties at their mean rank, NULL for NULL.  From
+    counts per value: only the distinct values are ordered."""
+    values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("_c").over(Window.partitionBy())
+    ranks = values.select("_v", ((upto - (F.col("_c") - 1) / 2) / total).alias(name))
+    return df.join(ranks, df[column] == F.col("_v"), "left").drop("_v")
+
+
 def scored_cases(candidates: DataFrame, impacts: DataFrame) -> DataFrame:
     """Candidates with ``typical`` (distance to the stratum's medians) and ``impact`` (sum of
     two average-tie percent ranks)."""
@@ -117,23 +127,18 @@ def scored_cases(candidates: DataFrame, impacts: DataFrame) -> DataFrame:
     stratum = Window.partitionBy("sector", "activity")
     distance = sum((F.abs(F.col(m) - F.median(m).over(stratum)) for m in ("multi_rate", "unknown_rate", "refresh_rate")), F.lit(0.0))
     for name, source in (("_ra", "max_center_effect_bps"), ("_rb", "coverage_loss_fraction")):
-        # Percent ranks from counts per value: ties share their mean rank, and only the distinct values are ordered.
-        values = c.filter(F.col(source).isNotNull()).groupBy(F.col(source).alias("_v")).agg(F.count("*").alias("_c"))
-        upto = F.sum("_c").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-        total = F.sum("_c").over(Window.partitionBy())
-        ranks = values.select("_v", ((upto - (F.col("_c") - 1) / 2) / total).alias(name))
-        c = c.join(ranks, c[source] == F.col("_v"), "left").drop("_v")
+        c = percent_rank(c, source, name)
     return c.withColumns({"typical": distance, "impact": F.coalesce("_ra", F.lit(0.0)) + F.coalesce("_rb", F.lit(0.0))}).drop("_ra", "_rb")
 
 
-def _pick(rows: list, order, used: list, n: int, requirements=()) -> list:
+def _pick(rows: list, order, used: list, n: int, requirements=(), caps=("firm", "issuer"), relax_needs: bool = True) -> list:
     """Round robin over strata in ``order``; requirements first; at most two cases of a
     dealer and of an issuer, a limit that falls only when nothing else is left."""
     left, out = sorted(rows, key=order), []
-    crowded = lambda r, limit: any(sum(u[k] == r[k] for u in [*used, *out]) >= limit for k in ("firm", "issuer"))
+    crowded = lambda r, limit: any(sum(u[k] == r[k] for u in [*used, *out]) >= limit for k in caps)
     taken = lambda r: any(u["case_id"] == r["case_id"] for u in [*used, *out])
     for need in requirements:
-        found = next((r for limit in (2, n + len(used) + 1) for r in left if need(r) and not taken(r) and not crowded(r, limit)), None)
+        found = next((r for limit in (2, n + len(used) + 1)[: 1 + relax_needs] for r in left if need(r) and not taken(r) and not crowded(r, limit)), None)
         if found is not None and len(out) < n:
             out.append(found)
     for limit in (2, n + len(used) + 1):
@@ -153,17 +158,17 @@ _NEEDS = (("events <= 3", lambda r: r["events"] <= 3), ("one_sided_day", lambda
 _SHIFTED = ("max_center_effect_bps > 1e-9 or coverage_loss_fraction > 0", lambda r: (r["max_center_effect_bps"] or 0) > 1e-9 or (r["coverage_loss_fraction"] or 0) > 0)
 
 
-def picked_cases(rows: list, n: int) -> list:
+def picked_cases(rows: list, n: int, *, needs=_NEEDS, shifted=_SHIFTED, caps=("firm", "issuer"), relax_needs: bool = True) -> list:
     """(kind, place, row) of the greedy pick of all kinds."""
     used: list = []
     kinds = (
-        ("Random", lambda r: r["hash"], rows, [need for _, need in _NEEDS]),
+        ("Random", lambda r: r["hash"], rows, [need for _, need in needs]),
         ("Typical", lambda r: (r["typical"], r["hash"]), rows, ()),
-        ("High impact", lambda r: (-r["impact"], r["hash"]), [r for r in rows if _SHIFTED[1](r)], ()),
+        ("High impact", lambda r: (r["impact"] is None, -(r["impact"] or 0), r["hash"]), [r for r in rows if shifted[1](r)], ()),
     )
     out = []
-    for kind, key, pool, needs in kinds:
-        found = _pick(pool, key, used, n, needs)
+    for kind, key, pool, wanted in kinds:
+        found = _pick(pool, key, used, n, wanted, caps, relax_needs)
         used += found
         out += [(kind, i + 1, r) for i, r in enumerate(found)]
     return out
@@ -191,15 +196,20 @@ def _first_free(pool: DataFrame, key, n: int) -> DataFrame:
     return x.filter((F.col("_near") & (F.col("_p") <= 2 * barred * most + taken + 1)) | (F.col("_any") <= taken + 1)).select(*pool.columns)
 
 
-def case_manifest(scored: DataFrame, n: int = CASES_PER_KIND) -> DataFrame:
-    """Random, typical and high-impact cases.  Of each stratum only rows that the pick can reach
-    come to the driver, a number that depends on ``n`` alone; the result is that of all rows."""
+def pick_cases(scored: DataFrame, n: int, *, needs=_NEEDS, shifted=_SHIFTED, **rules) -> list:
+    """(kind, place, row) of the pick over all rows of ``scored``.  Of each stratum only rows that the
+    pick can reach come to the driver, a number that depends on ``n`` alone."""
     scored = scored.persist()
-    random, typical, impact = F.struct("hash"), F.struct("typical", "hash"), F.struct((-F.col("impact")).alias("i"), "hash")
-    parts = [_first_free(scored, random, n), *(_first_free(scored.filter(c), random, n) for c, _ in _NEEDS), _first_free(scored, typical, n), _first_free(scored.filter(_SHIFTED[0]), impact, n)]
+    random, typical, impact = F.struct("hash"), F.struct("typical", "hash"), F.struct(F.col("impact").isNull().alias("none"), (-F.col("impact")).alias("i"), "hash")
+    parts = [_first_free(scored, random, n), *(_first_free(scored.filter(c), random, n) for c, _ in needs), _first_free(scored, typical, n), _first_free(scored.filter(shifted[0]), impact, n)]
     rows = list({r["case_id"]: r.asDict() for part in parts for r in part.collect()}.values())
     scored.unpersist()
-    out = [(kind, i, r["case_id"], r["firm"], r["cusip"], r["side"], str(r["day"]), r["sector"], r["activity"]) for kind, i, r in picked_cases(rows, n)]
+    return picked_cases(rows, n, needs=needs, shifted=shifted, **rules)
+
+
+def case_manifest(scored: DataFrame, n: int = CASES_PER_KIND) -> DataFrame:
+    """Random, typical and high-impact cases; the result is that of all rows."""
+    out = [(kind, i, r["case_id"], r["firm"], r["cusip"], r["side"], str(r["day"]), r["sector"], r["activity"]) for kind, i, r in pick_cases(scored, n)]
     return scored.sparkSession.createDataFrame(out, "kind string, place int, case_id string, firm string, cusip string, side string, day string, sector string, activity string")
 
 

@@ -9,7 +9,14 @@ from ..config import EMBARGO_DAYS, MIN_TRAIN_DAYS, TEST_DAYS, VALIDATION_DAYS
 from ..operators.pairs import PAIR_FEATURES
 
 VERSIONS = ["Base", "Price levels", "Reliability", "Age decay", "Max age", "Candidate clip", "Dealer downweight", "Paired"]
-RELIABILITY = ["n_dealers", "n_fresh_dealers", "n_incomplete", "dispersion_bps", "mean_candidate_gap", "median_message_age_min", "median_change_age_min", "unknown_change_age_fraction", "multi_fraction"]
+# The base model's columns, its categories, and what each version adds.
+BASE_FEATURES = [
+    "d_cpp_bm_spread", "coupon", "d_cdx_trade", "mean_issuer_spread_dev", "num_of_issuer_trades_since_prev", "prev_bm_spread", "prev_quantity",
+    "prev_trade_type", "quantity", "trade_type", "yrs_to_maturity", "bm_yield_std", "d_short_to_bm_spread", "prev_bm_spread_std_group_by_type",
+]
+BASE_CATEGORIES = ["prev_trade_type", "trade_type"]
+RELIABILITY = ["mean_candidate_gap", "dispersion_bps", "median_message_age_min", "median_change_age_min", "unknown_change_age_fraction", "zero_quantity_fraction", "unknown_quantity_fraction", "decay_effective_dealers", "n_peer_supported"]
+PAIRED = [c for c in PAIR_FEATURES if c not in ("pair_mid", "size_time_mid")]
 #: What a version takes in place of the equal center.
 LEVEL = {"Age decay": "center_decay", "Max age": "center_max_age", "Candidate clip": "center_candidate_clip", "Dealer downweight": "center_dealer_downweight"}
 
@@ -32,30 +39,23 @@ def chronological_split(trades: DataFrame, *, validation: int = VALIDATION_DAYS,
 
 
 def version_columns(version: str) -> dict[str, Column]:
-    """Name -> column of a feature version, on a frame of query features with
-    ``prev_bm_spread``, ``quantity``, ``trade_type``."""
+    """Name -> column of a feature version, on a frame of query features with ``BASE_FEATURES``:
+    14 columns for Base, 19 with price levels, 37 with reliability (the cleaning rules replace
+    levels only), 50 with pairs."""
     if version not in VERSIONS:
         raise ValueError(f"unknown version {version!r}")
-    base = {c: F.col(c) for c in ("prev_bm_spread", "quantity", "trade_type")}
+    out = {c: F.col(c) for c in BASE_FEATURES}
     if version == "Base":
-        return base
-    out = dict(base)
+        return out
+    count = "n_fresh_dealers" if version == "Max age" else "n_dealers"
     for s in ("bid", "ask"):
-        center = F.col(f"bcq_{s}_{LEVEL.get(version, 'center_equal')}")
-        out[f"{s}_level"] = center
-        out[f"{s}_anchor_gap"] = center - 100 * F.col("prev_bm_spread")
-    supported = F.col("bcq_is_quoted")
-    if version == "Max age":
-        fresh = F.col("bcq_bid_n_fresh_dealers") + F.col("bcq_ask_n_fresh_dealers")
-        supported = (fresh > 0).cast("double")
-    out["is_quoted"] = supported
+        out[f"{s}_anchor_gap"] = F.col(f"bcq_{s}_{LEVEL.get(version, 'center_equal')}") - 100 * F.col("prev_bm_spread")
+        out[f"{s}_n_dealers"] = F.col(f"bcq_{s}_{count}")
+    out["is_quoted"] = (F.col(f"bcq_bid_{count}") + F.col(f"bcq_ask_{count}") > 0).cast("double")
     if version != "Price levels":
-        for s in ("bid", "ask"):
-            for c in RELIABILITY:
-                source = "n_fresh_dealers" if version == "Max age" and c == "n_dealers" else c
-                out[f"{s}_{c}"] = F.col(f"bcq_{s}_{source}")
+        out |= {f"{s}_{c}": F.col(f"bcq_{s}_{c}") for s in ("bid", "ask") for c in RELIABILITY}
     if version == "Paired":
-        out |= {c: F.col(f"bcq_{c}") for c in PAIR_FEATURES}
+        out |= {c: F.col(f"bcq_{c}") for c in PAIRED}
     return out
 
 
@@ -93,13 +93,13 @@ def fit_predict(frame: DataFrame, version: str, *, stage: str = "Validation", tr
     from pyspark.ml.regression import GBTRegressor
 
     columns = version_columns(version)
-    numbers = [n for n in columns if n != "trade_type"]
+    numbers = [n for n in columns if n not in BASE_CATEGORIES]
     x = frame.select("row_id", "ns", "day", "split", F.col("bm_spread").alias("truth"), "prev_bm_spread", *(c.alias(f"x_{n}") for n, c in columns.items()))
-    x = x.withColumns({f"x_{n}": F.coalesce(F.col(f"x_{n}").cast("double"), F.lit(-1e9)) for n in numbers}).withColumn("x_trade_type", F.coalesce("x_trade_type", F.lit("?")))
+    x = x.withColumns({f"x_{n}": F.coalesce(F.col(f"x_{n}").cast("double"), F.lit(-1e9)) for n in numbers}).withColumns({f"x_{n}": F.coalesce(F.col(f"x_{n}"), F.lit("?")) for n in BASE_CATEGORIES})
     x = x.withColumn("target", F.col("truth") - F.col("prev_bm_spread")).filter("target is not null")
     steps = [
-        StringIndexer(inputCol="x_trade_type", outputCol="x_type", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        VectorAssembler(inputCols=[f"x_{n}" for n in numbers] + ["x_type"], outputCol="features"),
+        StringIndexer(inputCols=[f"x_{n}" for n in BASE_CATEGORIES], outputCols=[f"c_{n}" for n in BASE_CATEGORIES], handleInvalid="keep", stringOrderType="alphabetAsc"),
+        VectorAssembler(inputCols=[f"x_{n}" for n in numbers] + [f"c_{n}" for n in BASE_CATEGORIES], outputCol="features"),
         GBTRegressor(featuresCol="features", labelCol="target", lossType="absolute", maxIter=trees, maxDepth=depth, seed=seed),
     ]
     fitted = Pipeline(stages=steps).fit(x.filter("split = 'Train'"))

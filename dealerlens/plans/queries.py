@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import asof, events, features, pairs, side
-from ..sources.ingest import quotes_view, trades_view
+from ..sources.ingest import DERIVED_BASE, base_trades_view, quotes_view, trades_view
 from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,12 +275,17 @@ def clean_reasons(spark, d):
 
 @register("pca_loadings")
 def pca_loadings(spark, d):
-    return clean.pca(clean.matched_movement(_states(spark, d, bonds=3, dealers=3)[2]), least=10)
+    # The tables have too few matched changes; the levels at common times stand for them.
+    e = events.dealer_events(quotes_view(spark, d, bonds=3)).filter("center is not null")
+    return clean.pca(e.groupBy("ns", "cusip", "side").agg(F.avg("center").alias("delta")), least=10)
 
 
-@register("trend")
+@register("trend", sql.query(*CLEAN_SQL, """tr0 AS (SELECT cusip, ns, bid AS v, ns // 86400000000000 AS day, coalesce(ns - lag(ns) OVER w > 600000000000, true) AS fresh FROM levels WHERE bid IS NOT NULL WINDOW w AS (PARTITION BY cusip, ns // 86400000000000 ORDER BY ns)),
+tr1 AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY cusip, day ORDER BY ns ROWS UNBOUNDED PRECEDING) AS run FROM tr0),
+tr2 AS (SELECT *, row_number() OVER (PARTITION BY cusip, day, run ORDER BY ns) - 1 AS i FROM tr1)""",
+  select="SELECT a.cusip, a.ns, round(sum(b.v * pow(0.5, a.i - b.i + CASE WHEN b.i = 0 THEN 0 ELSE 1 END)), 6) AS trend FROM tr2 a JOIN tr2 b ON a.cusip = b.cusip AND a.day = b.day AND a.run = b.run AND b.i <= a.i GROUP BY a.cusip, a.ns"))
 def trend(spark, d):
-    return clean.ewma(clean.consensus_levels(_states(spark, d)[2]), "bid")
+    return rounded(clean.ewma(clean.consensus_levels(_states(spark, d)[2]), "bid"), "trend")
 
 
 # Population and cases.
@@ -364,33 +369,40 @@ def chronological_split(spark, d):
 
 
 def _frame(spark, d):
-    t = trades_view(spark, d)
+    t = base_trades_view(spark, d)
     split = experiment.chronological_split(t).drop("day")
     return features.point_features(history(spark, d), t).join(split, "row_id")
 
 
 def _version_sql(version: str) -> str:
-    level = experiment.LEVEL.get(version, "center_equal")
+    level, count = experiment.LEVEL.get(version, "center_equal"), "n_fresh_dealers" if version == "Max age" else "n_dealers"
     get = lambda s, c: f"max(CASE WHEN side = '{s}' THEN {c} END)"
-    out, wide = [], []
+    base = [f"{DERIVED_BASE[c]} AS {c}" if c in DERIVED_BASE else f"round({c}, 6) AS {c}" if c == "prev_bm_spread" else c for c in experiment.BASE_FEATURES]
+    if version == "Base":
+        return sql.query(sql.trades(), select=f"SELECT row_id, {', '.join(base)} FROM trades")
+    wide, out = [], []
     for s in ("bid", "ask"):
-        wide += [f"{get(s, level)} AS {s}_level"] + [f"{get(s, 'n_fresh_dealers' if version == 'Max age' and c == 'n_dealers' else c)} AS {s}_{c}" for c in experiment.RELIABILITY] + [f"{get(s, 'n_dealers')} AS {s}_d", f"{get(s, 'n_fresh_dealers')} AS {s}_f"]
-        out += [f"round({s}_level, 6) AS {s}_level", f"round({s}_level - 100 * prev_bm_spread, 6) AS {s}_anchor_gap"]
-        out += [f"coalesce({s}_{c}, 0) AS {s}_{c}" if c.startswith("n_") else f"round({s}_{c}, 6) AS {s}_{c}" for c in experiment.RELIABILITY]
-    k = "f" if version == "Max age" else "d"
-    return sql.query(*SIDE_SQL, f"wide AS (SELECT cusip, ns, {', '.join(wide)} FROM side GROUP BY ALL)", select=f"SELECT row_id, round(prev_bm_spread, 6) AS prev_bm_spread, quantity, trade_type, CAST(coalesce(bid_{k}, 0) + coalesce(ask_{k}, 0) > 0 AS DOUBLE) AS is_quoted, {', '.join(out)} FROM trades t LEFT JOIN wide USING (cusip, ns)")
+        wide += [f"{get(s, level)} AS {s}_level", f"{get(s, count)} AS {s}_k"] + [f"{get(s, c)} AS {s}_{c}" for c in experiment.RELIABILITY]
+        out += [f"round({s}_level - 100 * prev_bm_spread, 6) AS {s}_anchor_gap", f"coalesce({s}_k, 0) AS {s}_n_dealers"]
+        if version != "Price levels":
+            out += [f"coalesce({s}_{c}, 0) AS {s}_{c}" if c.startswith("n_") else f"round({s}_{c}, 6) AS {s}_{c}" for c in experiment.RELIABILITY]
+    if version == "Paired":
+        out += [f"coalesce({c}, 0) AS {c}" if c.startswith("n_") else f"round({c}, 6) AS {c}" for c in experiment.PAIRED]
+    pairs = ([sql.PAIRS], " LEFT JOIN pf USING (cusip, ns)") if version == "Paired" else ([], "")
+    return sql.query(*SIDE_SQL, *pairs[0], f"wide AS (SELECT cusip, ns, {', '.join(wide)} FROM side GROUP BY ALL)", select=f"SELECT row_id, {', '.join(base)}, CAST(coalesce(bid_k, 0) + coalesce(ask_k, 0) > 0 AS DOUBLE) AS is_quoted, {', '.join(out)} FROM trades t LEFT JOIN wide USING (cusip, ns){pairs[1]}")
 
 
 def _version(version: str):
     def run(spark, d):
-        t = trades_view(spark, d)
-        f = experiment.model_frame(features.point_features(history(spark, d), t), version)
-        return rounded(f, "prev_bm_spread", *(f"{s}_{c}" for s in ("bid", "ask") for c in ("level", "anchor_gap", *(c for c in experiment.RELIABILITY if not c.startswith("n_")))))
+        t = base_trades_view(spark, d)
+        f = t if version == "Base" else features.point_features(history(spark, d), t)
+        f = experiment.model_frame(f, version)
+        return rounded(f, *(c for c in f.columns if c in ("prev_bm_spread", *experiment.PAIRED) and not c.startswith("n_") or c.split("_")[0] in ("bid", "ask") and "_n_" not in c))
 
     return run
 
 
-for _v in ("Age decay", "Max age"):
+for _v in experiment.VERSIONS:
     register(f"model_version_{_v.lower().replace(' ', '_')}", _version_sql(_v))(_version(_v))
 
 
@@ -451,10 +463,28 @@ def rule_shifts(spark, d):
     return rounded(diagnostics.rule_shifts(f), "median_shift", "p95_shift", "coverage_loss")
 
 
-@register("prediction_problems", sql.query(sql.trades(), sql_more.PREDICTIONS, select="SELECT 'none' AS problem, CAST(0 AS BIGINT) AS \"rows\" FROM preds WHERE false"))
+#: Damage by row and model, so that every kind of problem occurs.
+_DAMAGED = """bad0 AS (SELECT * FROM preds WHERE NOT (model = 'Base' AND row_id % 97 = 5) UNION ALL SELECT * FROM preds WHERE row_id % 89 = 3),
+bad AS (SELECT CASE WHEN row_id % 83 = 7 THEN -row_id - 1 ELSE row_id END AS row_id, CASE WHEN row_id % 79 = 2 THEN ns + 1 ELSE ns END AS ns, model, CASE WHEN row_id % 73 = 4 THEN NULL ELSE pred END AS pred, CASE WHEN row_id % 71 = 6 THEN error_bps + 1 ELSE error_bps END AS error_bps FROM bad0),
+known AS (SELECT b.*, t.ns AS t_ns, t.bm_spread AS t_truth FROM bad b LEFT JOIN trades t USING (row_id)),
+problems AS (
+  SELECT 'repeated' AS problem FROM bad GROUP BY row_id, model HAVING count(*) > 1
+  UNION ALL SELECT 'outside the cohort' FROM known WHERE t_ns IS NULL
+  UNION ALL SELECT 'not finite' FROM known WHERE pred IS NULL
+  UNION ALL SELECT 'other time' FROM known WHERE t_ns IS NOT NULL AND ns <> t_ns
+  UNION ALL SELECT 'other error' FROM known WHERE NOT abs(error_bps - (pred - t_truth) * 100) <= 1e-7 + 1e-9 * abs(error_bps)
+  UNION ALL SELECT 'missing' FROM trades t, (SELECT DISTINCT model FROM bad) m WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.row_id = t.row_id AND b.model = m.model)
+)"""
+
+
+@register("prediction_problems", sql.query(sql.trades(), sql_more.PREDICTIONS, _DAMAGED, select="SELECT problem, count(*) AS \"rows\" FROM problems GROUP BY problem"))
 def prediction_problems(spark, d):
     t = trades_view(spark, d).withColumn("truth", F.col("bm_spread"))
-    return diagnostics.prediction_problems(t, predictions_view(spark, d))
+    p = predictions_view(spark, d)
+    p = p.filter("not (model = 'Base' and row_id % 97 = 5)").unionByName(p.filter("row_id % 89 = 3"))
+    damage = {"row_id": "row_id % 83 = 7", "ns": "row_id % 79 = 2", "pred": "row_id % 73 = 4", "error_bps": "row_id % 71 = 6"}
+    to = {"row_id": "-row_id - 1", "ns": "ns + 1", "pred": "null", "error_bps": "error_bps + 1"}
+    return diagnostics.prediction_problems(t, p.withColumns({c: F.expr(f"case when {w} then {to[c]} else {c} end") for c, w in damage.items()}))
 
 
 @register("event_gap_histogram", sql.query(*BASE[:1], sql.EVENTS, select="SELECT CAST(floor(gap / 2) AS BIGINT) AS bin, count(*) AS n FROM ev WHERE gap IS NOT NULL GROUP BY 1"))

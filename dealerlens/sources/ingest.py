@@ -26,13 +26,63 @@ def utc_text_to_et(text: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(NEW_YORK), F.expr("cast(null as timestamp_ntz)") if text is None else text.try_cast("timestamp_ntz"))
 
 
-def local_to_et(text: Column, zone: str = NEW_YORK) -> Column:
-    """Wall time in ``zone`` -> New York wall time; a time that the zone skips is NULL, as
-    the way to UTC and back does not return to it."""
+def local_to_et(text: Column, zone: str = NEW_YORK, *, strict: bool = False) -> Column:
+    """Wall time in ``zone`` -> New York wall time.  A time that the zone skips (the way to UTC and
+    back does not return to it) or has twice (an instant shortly before or after reads the same) is
+    NULL, or with ``strict`` an error; unparseable text is NULL."""
     local = text.try_cast("timestamp_ntz")
     utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
-    back = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
-    return F.when(back == local, F.convert_timezone(F.lit("UTC"), F.lit(NEW_YORK), utc))
+    reads = lambda t: F.convert_timezone(F.lit("UTC"), F.lit(zone), t)
+    shifted = [F.timestamp_add("MINUTE", F.lit(m), utc) for m in (-120, -60, -30, 30, 60, 120)]
+    once = reads(utc) == local
+    for t in shifted:
+        once = once & (reads(t) != local)
+    found = F.when(once, F.convert_timezone(F.lit("UTC"), F.lit(NEW_YORK), utc))
+    if strict:
+        return F.when(local.isNotNull() & ~once, F.raise_error(F.concat(F.lit("no single instant has the local time "), local.cast("string"))).cast("timestamp_ntz")).otherwise(found)
+    return found
+
+
+def trade_universe(trades: DataFrame, start=None, end=None) -> DataFrame:
+    """The trades between two instants of ``ns``, both included; None leaves a side open."""
+    keep = F.lit(True)
+    if start is not None:
+        keep = keep & (F.col("ns") >= start)
+    if end is not None:
+        keep = keep & (F.col("ns") <= end)
+    return trades.filter(F.col("cusip").isNotNull() & F.col("ns").isNotNull() & keep)
+
+
+def combined_metadata(*sources: DataFrame) -> DataFrame:
+    """(cusip, issuer, tenor): of each bond, the row of the last source that names its issuer; of
+    several rows there, the greatest.  Sources have cusip, issuer and tenor."""
+    every = None
+    for i, s in enumerate(sources):
+        part = s.select(F.lit(i).alias("p"), F.trim("cusip").alias("cusip"), F.trim("issuer").alias("issuer"), F.col("tenor").cast("double").alias("tenor"))
+        every = part if every is None else every.unionByName(part)
+    best = every.filter("cusip is not null and issuer is not null").groupBy("cusip").agg(F.max(F.struct("p", "issuer", "tenor")).alias("m"))
+    return best.select("cusip", "m.issuer", "m.tenor")
+
+
+#: The columns of the base model that the derived trades lack, as SQL on row_id.
+DERIVED_BASE = {
+    "d_cpp_bm_spread": "CAST(row_id % 11 - 5 AS DOUBLE) / 100",
+    "coupon": "CAST(row_id % 9 AS DOUBLE) / 2 + 2",
+    "d_cdx_trade": "CAST(row_id % 5 - 2 AS DOUBLE) / 10",
+    "mean_issuer_spread_dev": "CAST(row_id % 13 - 6 AS DOUBLE) / 20",
+    "num_of_issuer_trades_since_prev": "CAST(row_id % 6 AS DOUBLE)",
+    "prev_quantity": "CAST((row_id + 2) % 5 + 1 AS DOUBLE) * 50000",
+    "prev_trade_type": "CASE (row_id + 1) % 3 WHEN 0 THEN 'S' WHEN 1 THEN 'B' ELSE 'D' END",
+    "yrs_to_maturity": "CAST(row_id % 29 + 1 AS DOUBLE)",
+    "bm_yield_std": "CAST(row_id % 17 AS DOUBLE) / 100",
+    "d_short_to_bm_spread": "CAST(row_id % 7 AS DOUBLE) / 50",
+    "prev_bm_spread_std_group_by_type": "CAST(row_id % 19 AS DOUBLE) / 100",
+}
+
+
+def base_trades_view(spark: SparkSession, sf_dir: str, bonds: int = 2) -> DataFrame:
+    """``trades_view`` with all columns of the base model."""
+    return trades_view(spark, sf_dir, bonds).withColumns({c: F.expr(e) for c, e in DERIVED_BASE.items()})
 
 
 def with_clock(df: DataFrame, ts_col: str) -> DataFrame:

@@ -11,13 +11,17 @@ edited places.
 Likeness of two trees: the characters in paragraphs that both have, as Dice coefficient of
 the two sets of paragraphs, from 0 to 1; 1 for equal roots.
 
+An edit is located by descending both trees from the roots: the first and the last section that
+differ, and inside them the first and the last paragraph.
+
 Successors in descending id are found without a global sort in one task: ids are dealt to
 ranges of about ``BUCKET_ROWS`` rows, each range is ordered on its own, and the head of the
-next range is added to each as a last row.
+next range is added to each as a last row.  Ranges have even widths; one that holds far more rows, as
+ids are uneven, is split again at its own least and greatest id, until none does.
 
-Defined results: null texts count as empty; the empty text has one empty paragraph; rows of
-equal id follow one another by text; null ids come last; the only row is its own successor;
-an empty table gives no rows; extra columns are ignored.
+Defined results: null texts count as empty; the empty text has one empty paragraph; very long texts
+and paragraphs count whole; rows of equal id follow one another by text, so ties do not matter; null
+ids come last; the only row is its own successor; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import small_or_shuffled, table
+from ._util import checkpointed, small_or_shuffled, table
 
 BUCKET_ROWS = 1000
+#: Rows of a range, as a multiple of BUCKET_ROWS, above which it is split.
+UNEVEN, SPLITS = 8, 8
 #: Keys up to which one task may order them all.
 ONE_TASK_KEYS = 10_000
 CUT = r"(?<=\n)|(?<=[.!?,;:|]\x20)"
@@ -43,9 +49,18 @@ def paragraph_nodes(parts: Column) -> Column:
 
 def section_nodes(nodes: Column) -> Column:
     """Nodes of the sections, from the nodes of the paragraphs."""
+    return F.transform(_runs(nodes), lambda s: F.sha2(s, 256))
+
+
+def section_sizes(nodes: Column) -> Column:
+    """How many paragraphs each section has."""
+    return F.transform(_runs(nodes), lambda s: F.floor(F.length(s) / 64).cast("int"))
+
+
+def _runs(nodes: Column) -> Column:
+    """The sections as their paragraphs' nodes, joined."""
     marked = F.transform(nodes, lambda n: F.when(F.substring(n, 1, 1).isin("0", "1"), F.concat(n, F.lit("|"))).otherwise(n))
-    runs = F.filter(F.split(F.array_join(marked, ""), r"\|", -1), lambda s: s != "")
-    return F.transform(runs, lambda s: F.sha2(s, 256))
+    return F.filter(F.split(F.array_join(marked, ""), r"\|", -1), lambda s: s != "")
 
 
 def root(sections: Column) -> Column:
@@ -53,13 +68,14 @@ def root(sections: Column) -> Column:
 
 
 def paragraph_keys(parts: Column) -> Column:
-    """One number per distinct paragraph: a hash, with its length in the low 20 bits."""
-    key = lambda p: F.shiftleft(F.xxhash64(p), 20).bitwiseOR(F.least(F.length(p), F.lit((1 << 20) - 1)).cast("long"))
+    """One number per distinct paragraph: a hash, with its length (31 bits, as long as a string gets)
+    in the low bits."""
+    key = lambda p: F.shiftleft(F.xxhash64(p), 31).bitwiseOR(F.length(p).cast("long"))
     return F.array_distinct(F.transform(parts, key))
 
 
 def _weight(keys: Column) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a + k.bitwiseAND(F.lit((1 << 20) - 1).cast("long")))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a + k.bitwiseAND(F.lit((1 << 31) - 1).cast("long")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -78,22 +94,57 @@ def with_tree(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
     )
 
 
-def edited_paragraphs(a: str, b: str) -> Column:
-    """Numbers (from 0) of the paragraphs of tree ``a`` that tree ``b`` lacks; empty at
-    equal roots, where nothing below is compared."""
-    missing = F.array_except(F.col(f"{a}_nodes"), F.col(f"{b}_nodes"))
-    numbers = F.filter(F.sequence(F.lit(0), F.size(f"{a}_nodes") - 1), lambda i: F.array_contains(missing, F.get(F.col(f"{a}_nodes"), i)))
-    return F.when(F.col(f"{a}_root") == F.col(f"{b}_root"), F.array().cast("array<int>")).otherwise(numbers)
+def _shared(a: Column, b: Column) -> Column:
+    """How many elements two arrays share from their starts."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    first = F.array_position(same, False)
+    return F.when(first > 0, first - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
+
+
+def edited_range(a: str, b: str) -> Column:
+    """struct<first,last>: the paragraphs (from 0) of tree ``a`` between which it differs from tree ``b``, NULL at
+    equal roots, where nothing below is compared; last is below first where ``b`` only has more."""
+    s_a, s_b, n_a, n_b = (F.col(f"{t}_{x}") for x in ("sections", "nodes") for t in (a, b))
+    total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda x, y: x + y)
+
+    def ends(s_a: Column, s_b: Column, n_a: Column, n_b: Column, sizes: Column, most: Column) -> Column:
+        """Equal paragraphs from the start: those of the equal sections, then of the first that differs."""
+        whole = _shared(s_a, s_b)
+        before = total(F.slice(sizes, F.lit(1), whole))
+        rest = lambda n: F.slice(n, before + 1, F.coalesce(F.get(sizes, whole), F.lit(0)))
+        return F.least(before + _shared(rest(n_a), rest(n_b)), most)
+
+    sizes = section_sizes(n_a)
+    front = ends(s_a, s_b, n_a, n_b, sizes, F.least(F.size(n_a), F.size(n_b)))
+    r = F.reverse
+    back = ends(r(s_a), r(s_b), r(n_a), r(n_b), r(sizes), F.least(F.size(n_a), F.size(n_b)) - front)
+    return F.when(F.col(f"{a}_root") != F.col(f"{b}_root"), F.struct(front.alias("first"), (F.size(n_a) - 1 - back).alias("last")))
+
+
+def _within(key: Column, low: Column, width: Column) -> Column:
+    """The least key of the range of ``width`` that ``key`` is in, counted from ``low``."""
+    away = key.cast("decimal(20,0)") - low.cast("decimal(20,0)")
+    return (low + F.floor(away / width) * width).cast("long")
 
 
 def _ranges(df: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
-    """Adds ``range``: the number of the key's range, ranges of about ``size`` rows if keys
-    are even; null keys get -1.  Also returns the number of rows."""
-    s = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()
-    low, high = float(s["low"] or 0), float(s["high"] or 0)
-    width = max(1.0, (high - low + 1) / max(1, -(-s["n"] // size)))
-    number = F.floor((F.col(key).cast("double") - F.lit(low)) / F.lit(width)).cast("long")
-    return df.withColumn("range", F.coalesce(number, F.lit(-1).cast("long"))), s["n"]
+    """Adds ``range``: the start of the key's range, ranges of about ``size`` rows; that of
+    null keys is below all others.  Also returns the number of rows."""
+    s = df.agg(F.min(key).cast("long").alias("low"), F.max(key).cast("long").alias("high"), F.count("*").alias("n")).first()
+    low, high = s["low"] or 0, s["high"] or 0
+    width = max(1, -(-(high - low + 1) // max(1, -(-s["n"] // size))))
+    k = F.col(key).cast("long")
+    dealt = df.withColumn("range", F.coalesce(_within(k, F.lit(low).cast("long"), F.lit(width).cast("long")), F.lit(low - 1).cast("long")))
+    for _ in range(SPLITS):
+        held = dealt.groupBy("range").agg(F.count("*").alias("n"), F.min(k).alias("low"), F.max(k).alias("high"))
+        crowded = held.filter((F.col("n") > UNEVEN * size) & (F.col("high") > F.col("low")))
+        crowded = checkpointed(crowded.select(F.col("range").alias("r"), "low", F.ceil((F.col("high").cast("decimal(20,0)") - F.col("low") + 1) / F.ceil(F.col("n") / size)).cast("long").alias("width")))
+        n = crowded.count()
+        if not n:
+            break
+        found = dealt.join(small_or_shuffled(crowded, n), F.col("range") == F.col("r"), "left")
+        dealt = found.withColumn("range", F.coalesce(_within(k, F.col("low"), F.col("width")), "range")).drop("r", "low", "width")
+    return dealt, s["n"]
 
 
 def next_lower(keys: DataFrame) -> DataFrame:
@@ -135,6 +186,7 @@ def op2_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     df = with_edited(with_successor(docs)).withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2("edited", 256))
     df = with_tree(with_tree(df, "text", "own"), "edited", "ed").withColumn("next_keys", paragraph_keys(paragraphs(F.col("next_text"))))
+    df = df.withColumn("where", edited_range("ed", "own"))
     return df.select(
         "doc_id",
         "n_chars",
@@ -143,4 +195,6 @@ def op2_document_fingerprints(spark, sf_dir: str) -> DataFrame:
         F.col("ed_root").alias("edited_fingerprint"),
         F.when(F.col("own_root") == F.col("ed_root"), 1.0).otherwise(likeness(F.col("own_keys"), F.col("ed_keys"))).alias("near_edited"),
         likeness(F.col("own_keys"), F.col("next_keys")).alias("near_next"),
+        F.col("where.first").alias("edited_from_paragraph"),
+        F.col("where.last").alias("edited_to_paragraph"),
     )

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from dealerlens.llm import fingerprint, licenses, secrets, url_filter
@@ -31,12 +32,55 @@ def test_fingerprint_roots_and_paragraphs(spark):
     assert len(set(by_text.values())) == len(by_text)
 
 
+def plain_edit(a, b):
+    front = 0
+    while front < min(len(a), len(b)) and a[front] == b[front]:
+        front += 1
+    back = 0
+    while back < min(len(a), len(b)) - front and a[-1 - back] == b[-1 - back]:
+        back += 1
+    return front, len(a) - 1 - back
+
+
 def test_edited_places_are_located(spark):
-    a = "\n".join(f"line {i}" for i in range(60))
-    df = documents(spark, [a]).withColumn("b", F.lit(a.replace("line 17", "line X")))
-    df = fingerprint.with_tree(fingerprint.with_tree(df, "text", "a"), "b", "b")
-    r = df.select(fingerprint.edited_paragraphs("a", "b").alias("e"), fingerprint.edited_paragraphs("a", "a").alias("same"), fingerprint.likeness(F.col("a_keys"), F.col("b_keys")).alias("l")).first()
-    assert r.e == [17] and r.same == [] and 0.9 < r.l < 1
+    r = random.Random(2)
+    whole = [f"sentence {i} goes on. " for i in range(200)]
+    rows = [("one. two. three. four. ", "one. two. THREE. four. "), ("same. ", "same. "), ("a. b. ", "a. b. c. "), ("a. b. c. ", "b. c. "), ("", "x. ")]
+    for _ in range(20):
+        other = list(whole)
+        for _ in range(r.randrange(1, 4)):
+            at = r.randrange(len(other))
+            other[at : at + r.randrange(2)] = [f"new {r.random()}. "]
+        rows.append(("".join(whole), "".join(other)))
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, x string, y string")
+    df = fingerprint.with_tree(fingerprint.with_tree(df, "x", "a"), "y", "b")
+    got = df.select("i", "a_parts", "b_parts", fingerprint.edited_range("a", "b").alias("e"), fingerprint.likeness(F.col("a_keys"), F.col("b_keys")).alias("l")).orderBy("i").collect()
+    for g, (x, y) in zip(got, rows, strict=True):
+        assert (None if g.e is None else tuple(g.e)) == (None if x == y else plain_edit(g.a_parts, g.b_parts)), (x, y)
+    assert tuple(got[0].e) == (2, 2) and 0 < got[0].l < 1 and got[1].l == 1
+
+
+def test_ranges_of_uneven_ids_are_split(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "UNEVEN", 2)
+    ids = [*range(400), 10**15, -(2**62), None, None, 7, 7]
+    df = spark.createDataFrame([(i,) for i in ids], "key long")
+    dealt, n = fingerprint._ranges(df, "key", 10)
+    rows = sorted(dealt.collect(), key=lambda x: (x["range"], x["key"] is not None, x["key"] or 0))
+    assert n == len(ids) and max(sum(x["range"] == y["range"] for x in rows) for y in rows[:50]) <= 20
+    keys = [x["key"] for x in rows if x["key"] is not None]
+    assert keys == sorted(keys) and rows[0]["key"] is None and len({x["range"] for x in rows if x["key"] is None}) == 1
+    docs = df.distinct().select(F.col("key").alias("doc_id"), F.concat(F.lit("t"), F.coalesce(F.col("key").cast("string"), F.lit("none"))).alias("text"))
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 10)
+    got = {x.doc_id: x.next_text for x in fingerprint.with_successor(docs).collect()}
+    order = [*sorted({i for i in ids if i is not None}, reverse=True), None]
+    assert got == {a: f"t{'none' if b is None else b}" for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+
+
+def test_likeness_of_very_long_paragraphs(spark):
+    long = "x" * (3 << 20)
+    df = spark.createDataFrame([(long + ". ab. ", long + ". cd. ")], "x string, y string")
+    df = fingerprint.with_tree(fingerprint.with_tree(df, "x", "a"), "y", "b")
+    assert df.select(fingerprint.likeness(F.col("a_keys"), F.col("b_keys"))).first()[0] == pytest.approx(1 - 4 / (len(long) + 6))
 
 
 def test_successors_over_several_ranges(spark, monkeypatch):

@@ -14,8 +14,9 @@ and, below it, the uniform distribution over V + 1 words; D1, D2, D3+ come from
 counts of counts.  A text is its words and one end; the history of the first is a start.
 All pairs are kept: nothing is pruned.
 
-Defined results: null and empty texts are one end; a null id's fold is that of the empty
-text; an empty table gives no rows; without training rows c = N = V = 0 and every word has
+Defined results: null and empty texts are one end; very long texts are counted and scored whole; counts
+have 64 bits, and more than 2^32 - 2 distinct words raise an error, as pairs have 32 bits for each word; a null id's
+fold is that of the empty text; ties need no rule; an empty table gives no rows; without training rows c = N = V = 0 and every word has
 probability 1; repeated rows are counted and scored each; extra columns are ignored.
 """
 
@@ -110,17 +111,25 @@ def _merge(rows: DataFrame, make) -> DataFrame:
     names = ("range", "n", "a", "b", "c", "d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for number, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(number, []).append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint8 if len(counts) * 8 == len(keys) else np.uint32)))
-        for number in sorted(held):
-            parts = held.pop(number)
+        now, parts = None, []
+
+        def merged() -> pa.RecordBatch:
             keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]).astype(np.int64))
             blobs = make(keys, counts)
-            yield _blob_batch([(number, len(blobs[0]) // 8, *blobs, *[None] * (4 - len(blobs)))], names)
+            return _blob_batch([(now, len(blobs[0]) // 8, *blobs, *[None] * (4 - len(blobs)))], names)
+
+        for batch in batches:
+            for number, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != now and parts:
+                    yield merged()
+                    parts = []
+                now = number
+                parts.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint8 if len(counts) * 8 == len(keys) else np.uint32)))
+        if parts:
+            yield merged()
 
-    return rows.repartition("range").mapInArrow(lean(run), "range long, n long, a binary, b binary, c binary, d binary")
+    # One range at a time is held, however many a task reads.
+    return rows.repartition("range").sortWithinPartitions("range").mapInArrow(lean(run), "range long, n long, a binary, b binary, c binary, d binary")
 
 
 def _counts_of_counts(counts: np.ndarray) -> bytes:
@@ -209,10 +218,10 @@ def _opened(place: str, kind: str, columns: dict[str, str]) -> Ranges:
     return _open[place]
 
 
-WORD_COLUMNS = {"a": "u8", "b": "u4", "d": "i8"}
-CONTINUED_COLUMNS = {"a": "u8", "b": "u4"}
-CONTEXT_COLUMNS = {"a": "u8", "b": "f4"}
-PAIR_COLUMNS = {"a": "u8", "b": "u4"}
+WORD_COLUMNS = {"a": "u8", "b": "i8", "d": "i8"}
+CONTINUED_COLUMNS = {"a": "u8", "b": "i8"}
+CONTEXT_COLUMNS = {"a": "u8", "b": "f8"}
+PAIR_COLUMNS = {"a": "u8", "b": "i8"}
 
 
 def _count_of_history(words: Ranges, ids: np.ndarray) -> np.ndarray:
@@ -302,7 +311,7 @@ def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_c
 
     blobs = "range long, keys binary, counts binary"
     model = BigramModel()
-    model.words = _publish(_merge(texts.mapInArrow(lean(count_words, "kneser_ney:_words"), blobs), lambda k, c: (k.tobytes(), c.astype(np.uint32).tobytes(), np.int64(c.sum()).tobytes(), (np.cumsum(c) - c).astype(np.int64).tobytes())), "words")
+    model.words = _publish(_merge(texts.mapInArrow(lean(count_words, "kneser_ney:_words"), blobs), lambda k, c: (k.tobytes(), c.astype(np.int64).tobytes(), np.int64(c.sum()).tobytes(), (np.cumsum(c) - c).astype(np.int64).tobytes())), "words")
     spark = docs.sparkSession
     # One short row per range.
     totals = spark.read.parquet(model.words).select("n", "c").rdd.map(lambda r: (r[0], int(np.frombuffer(r[1], np.int64)[0]))).fold((0, 0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
@@ -330,7 +339,7 @@ def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_c
             yield _blob_batch(list(_by_range(keys, counts, deal)), ("range", "keys", "counts"))
 
     def make_pairs(keys: np.ndarray, counts: np.ndarray) -> tuple:
-        return keys.tobytes(), counts.astype(np.uint32).tobytes(), _counts_of_counts(counts)
+        return keys.tobytes(), counts.astype(np.int64).tobytes(), _counts_of_counts(counts)
 
     model.pairs = _publish(_merge(texts.mapInArrow(lean(count_pairs, "kneser_ney:_words"), blobs), make_pairs), "pairs")
     pairs = spark.read.parquet(model.pairs)
@@ -341,7 +350,7 @@ def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_c
         """How many pairs of each history were seen once, twice, more often."""
         for batch in batches:
             for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                classes = np.minimum(np.frombuffer(b, np.uint32), 3).astype(np.uint64)
+                classes = np.minimum(np.frombuffer(b, np.int64), 3).astype(np.uint64)
                 keys, counts = np.unique(((np.frombuffer(a, np.uint64) >> np.uint64(32)) << np.uint64(2)) | classes, return_counts=True)
                 yield _blob_batch(list(_by_range(keys, counts, (keys >> np.uint64(2)).astype(np.int64) // span)), ("range", "keys", "counts"))
 
@@ -350,7 +359,7 @@ def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_c
         history = keys >> np.uint64(2)
         first = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]]))
         mass = np.add.reduceat(counts * np.asarray([0.0, *d])[(keys & np.uint64(3)).astype(np.int64)], first)
-        return history[first].tobytes(), mass.astype(np.float32).tobytes()
+        return history[first].tobytes(), mass.astype(np.float64).tobytes()
 
     model.contexts = _publish(_merge(pairs.select("a", "b").mapInArrow(count_contexts, blobs), make_contexts), "contexts")
 
@@ -364,7 +373,7 @@ def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_c
     _, found = _sums(spark.read.parquet(model.continued))
     model.continued_discounts = discounts(found)
     if model.pair_types:
-        taken = spark.read.parquet(model.continued).select("b").rdd.map(lambda r: float(_discount(np.frombuffer(r[0], np.uint32).astype(np.int64), model.continued_discounts).sum())).sum()
+        taken = spark.read.parquet(model.continued).select("b").rdd.map(lambda r: float(_discount(np.frombuffer(r[0], np.int64), model.continued_discounts).sum())).sum()
         model.lower_share = taken / model.pair_types
     return model
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import checkpointed, lean, small_or_shuffled, table
+from ._util import checkpointed, free_name, lean, small_or_shuffled, table
 from .components import components
 
 BASE_DEPTH, DEPTH = 4, 8
@@ -395,8 +395,9 @@ def near_duplicates(docs: DataFrame, *, k: int = SHINGLE_WORDS, threshold: tuple
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rows of documents that are not the least of their component."""
-    dropped = checkpointed(near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small_or_shuffled(dropped, dropped.count()), docs[id_col] == F.col("_gone"), "left_anti")
+    gone = free_name(docs, "_gone")
+    dropped = checkpointed(near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(small_or_shuffled(dropped, dropped.count()), docs[id_col] == F.col(gone), "left_anti")
 
 
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ their id; every text is scored.
 
 Defined results: null and empty texts score as the empty text; a document with several
 label rows counts as toxic if one of them says so; labels other than 0 and 1 are left out;
-with no labelled text of one class the score is the share of toxic ones (0.5 without any);
-repeated rows are scored each; an empty table gives no rows; extra columns are ignored.
+with no labelled text of one class the score is the share of toxic ones (0.5 without any); very long
+texts are scored whole; ties of the sample's hash go by id; repeated rows are scored each; an
+empty table gives no rows; extra columns are ignored by the query and kept by ``score``.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._util import chosen_by_hash, fold, lean, table
+from ._util import chosen_by_hash, every_column, fold, lean, table
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -161,16 +163,19 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out_buckets: int | None =
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """All columns of ``docs`` and ``out_col``; a column of that name is replaced."""
-    kept = [c for c in docs.columns if c.lower() != out_col.lower()]
-    schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add(out_col, "double")
-    at = kept.index(text_col)
+    kept = [x for x, c in zip(every_column(docs), docs.columns, strict=True) if c.lower() != out_col.lower()]
+    names = [c for c in docs.columns if c.lower() != out_col.lower()]
+    at = names.index(text_col)
+    # By plain names meanwhile: a dot in a column's name would be read as a field of it.
+    plain = docs.select(*kept).toDF(*(f"c{i}" for i in range(len(names))))
+    schema = T.StructType([*plain.schema, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [model.score(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(lean(run), schema)
+    return plain.mapInArrow(lean(run), schema).toDF(*names, out_col)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import checkpointed, small_or_shuffled, table
+from ._util import checkpointed, free_name, small_or_shuffled, table
 
 BUCKET_ROWS = 1000
 #: Rows of a range, as a multiple of BUCKET_ROWS, above which it is split.
@@ -47,16 +47,6 @@ def paragraph_nodes(parts: Column) -> Column:
     return F.transform(parts, lambda p: F.sha2(p, 256))
 
 
-def section_nodes(nodes: Column) -> Column:
-    """Nodes of the sections, from the nodes of the paragraphs."""
-    return F.transform(_runs(nodes), lambda s: F.sha2(s, 256))
-
-
-def section_sizes(nodes: Column) -> Column:
-    """How many paragraphs each section has."""
-    return F.transform(_runs(nodes), lambda s: F.floor(F.length(s) / 64).cast("int"))
-
-
 def _runs(nodes: Column) -> Column:
     """The sections as their paragraphs' nodes, joined."""
     marked = F.transform(nodes, lambda n: F.when(F.substring(n, 1, 1).isin("0", "1"), F.concat(n, F.lit("|"))).otherwise(n))
@@ -85,11 +75,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_tree(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
-    """Adds ``{prefix}_parts``, ``_nodes``, ``_sections``, ``_root`` and ``_keys``."""
+    """Adds ``{prefix}_parts``, ``_nodes``, ``_runs`` (each section's nodes, joined), ``_sections``, ``_root`` and ``_keys``."""
     return (
         df.withColumn(f"{prefix}_parts", paragraphs(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
         .withColumns({f"{prefix}_nodes": paragraph_nodes(F.col(f"{prefix}_parts")), f"{prefix}_keys": paragraph_keys(F.col(f"{prefix}_parts"))})
-        .withColumn(f"{prefix}_sections", section_nodes(F.col(f"{prefix}_nodes")))
+        .withColumn(f"{prefix}_runs", _runs(F.col(f"{prefix}_nodes")))
+        .withColumn(f"{prefix}_sections", F.transform(F.col(f"{prefix}_runs"), lambda s: F.sha2(s, 256)))
         .withColumn(f"{prefix}_root", root(F.col(f"{prefix}_sections")))
     )
 
@@ -101,24 +92,27 @@ def _shared(a: Column, b: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
 
 
-def edited_range(a: str, b: str) -> Column:
-    """struct<first,last>: the paragraphs (from 0) of tree ``a`` between which it differs from tree ``b``, NULL at
-    equal roots, where nothing below is compared; last is below first where ``b`` only has more."""
-    s_a, s_b, n_a, n_b = (F.col(f"{t}_{x}") for x in ("sections", "nodes") for t in (a, b))
-    total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda x, y: x + y)
+def with_edited_range(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds ``name``: struct<first,last>, the paragraphs (from 0) of tree ``a`` between which it differs from tree ``b``,
+    NULL at equal roots, where nothing below is compared; last is below first where ``b`` only has more."""
+    runs_a, s_a, s_b, n_a, n_b = (F.col(x) for x in (f"{a}_runs", f"{a}_sections", f"{b}_sections", f"{a}_nodes", f"{b}_nodes"))
+    front, sections = free_name(df, "front"), free_name(df, "sections")
+    differ = F.col(f"{a}_root") != F.col(f"{b}_root")
+    total = lambda runs: F.floor(F.aggregate(runs, F.lit(0), lambda x, s: x + F.length(s)) / 64).cast("int")
 
-    def ends(s_a: Column, s_b: Column, n_a: Column, n_b: Column, sizes: Column, most: Column) -> Column:
-        """Equal paragraphs from the start: those of the equal sections, then of the first that differs."""
-        whole = _shared(s_a, s_b)
-        before = total(F.slice(sizes, F.lit(1), whole))
-        rest = lambda n: F.slice(n, before + 1, F.coalesce(F.get(sizes, whole), F.lit(0)))
-        return F.least(before + _shared(rest(n_a), rest(n_b)), most)
+    def equal(runs: Column, whole: Column, n_a: Column, n_b: Column) -> Column:
+        """Equal paragraphs from the start: those of the ``whole`` equal sections, then of the first that differs."""
+        before = total(F.slice(runs, F.lit(1), whole))
+        rest = lambda n: F.slice(n, before + 1, F.floor(F.coalesce(F.length(F.get(runs, whole)), F.lit(0)) / 64).cast("int"))
+        return before + _shared(rest(n_a), rest(n_b))
 
-    sizes = section_sizes(n_a)
-    front = ends(s_a, s_b, n_a, n_b, sizes, F.least(F.size(n_a), F.size(n_b)))
     r = F.reverse
-    back = ends(r(s_a), r(s_b), r(n_a), r(n_b), r(sizes), F.least(F.size(n_a), F.size(n_b)) - front)
-    return F.when(F.col(f"{a}_root") != F.col(f"{b}_root"), F.struct(front.alias("first"), (F.size(n_a) - 1 - back).alias("last")))
+    # A column a step, so that each is computed once.
+    df = df.withColumn(sections, F.when(differ, F.struct(_shared(s_a, s_b).alias("first"), _shared(r(s_a), r(s_b)).alias("last"))))
+    most = F.least(F.size(n_a), F.size(n_b))
+    df = df.withColumn(front, F.when(differ, F.least(equal(runs_a, F.col(sections)["first"], n_a, n_b), most)))
+    back = F.least(equal(r(runs_a), F.col(sections)["last"], r(n_a), r(n_b)), most - F.col(front))
+    return df.withColumn(name, F.when(differ, F.struct(F.col(front).alias("first"), (F.size(n_a) - 1 - back).alias("last")))).drop(sections, front)
 
 
 def _within(key: Column, low: Column, width: Column) -> Column:
@@ -186,7 +180,7 @@ def op2_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     df = with_edited(with_successor(docs)).withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2("edited", 256))
     df = with_tree(with_tree(df, "text", "own"), "edited", "ed").withColumn("next_keys", paragraph_keys(paragraphs(F.col("next_text"))))
-    df = df.withColumn("where", edited_range("ed", "own"))
+    df = with_edited_range(df, "ed", "own", "where")
     return df.select(
         "doc_id",
         "n_chars",

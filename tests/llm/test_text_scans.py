@@ -54,7 +54,7 @@ def test_edited_places_are_located(spark):
         rows.append(("".join(whole), "".join(other)))
     df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, x string, y string")
     df = fingerprint.with_tree(fingerprint.with_tree(df, "x", "a"), "y", "b")
-    got = df.select("i", "a_parts", "b_parts", fingerprint.edited_range("a", "b").alias("e"), fingerprint.likeness(F.col("a_keys"), F.col("b_keys")).alias("l")).orderBy("i").collect()
+    got = fingerprint.with_edited_range(df, "a", "b", "e").select("i", "a_parts", "b_parts", "e", fingerprint.likeness(F.col("a_keys"), F.col("b_keys")).alias("l")).orderBy("i").collect()
     for g, (x, y) in zip(got, rows, strict=True):
         assert (None if g.e is None else tuple(g.e)) == (None if x == y else plain_edit(g.a_parts, g.b_parts)), (x, y)
     assert tuple(got[0].e) == (2, 2) and 0 < got[0].l < 1 and got[1].l == 1

@@ -13,8 +13,9 @@ template's words, so the join finds every match.
 
 Only the frequencies of template words are gathered, as many rows as templates have words.
 
-Defined results: null and empty texts have no words; repeated rows are scanned each; an
-empty table gives no rows; extra columns are ignored.
+Defined results: null and empty texts have no words; very long texts are scanned whole; words of equal
+frequency go by their letters, and templates that tie all give their labels; repeated rows are
+scanned each; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

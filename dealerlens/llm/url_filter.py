@@ -8,8 +8,8 @@ under its rarest one.  A URL's tokens fetch the rules filed under them, and only
 their regular expression.  Rules without a whole token are tried on every URL.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no path
-rule, and is judged by the patterns as it stands (null: as empty text); repeated rows are
-judged each; an empty table gives no rows; extra columns are ignored.
+rule, and is judged by the patterns as it stands (null: as empty text); very long URLs are judged
+whole; the longest fitting path rule decides; repeated rows are judged each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

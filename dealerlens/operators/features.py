@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AGE_MIN, SYNC_MIN
-from .pairs import PAIR_FEATURES, pair_features, pair_snapshots
-from .side import COUNTS, SIDE_FEATURES, side_features, slots
+from .asof import asof
+from .pairs import PAIR_FEATURES, pair_features, snapshots_of
+from .pairs import STATE as PAIR_STATE
+from .side import COUNTS, SIDE_FEATURES, side_features, slots_of
+from .side import STATE as SIDE_STATE
 
 PAIR_COUNTS = ["n_pair", "n_size_time_pair"]
 
@@ -22,10 +25,12 @@ def check_queries(queries: DataFrame) -> DataFrame:
 
 def point_features(events: DataFrame, queries: DataFrame, *, age_min: float = AGE_MIN, sync_min: float = SYNC_MIN, exact: bool = True, prefix: str = "bcq_") -> DataFrame:
     """``queries`` (row_id, cusip, ns, day) with the 62 features; counts without support are
-    0, values NULL.  States are computed once per distinct (cusip, ns)."""
-    sides = side_features(slots(events, queries, exact=exact), age_min)
+    0, values NULL.  States are computed once per distinct (cusip, ns), and one as-of pass's shuffle
+    serves both sides and pairs."""
+    states = asof(events.filter("side in ('bid', 'ask')"), queries, [*dict.fromkeys(SIDE_STATE + PAIR_STATE)], exact=exact)
+    sides = side_features(slots_of(states), age_min)
     wide = sides.groupBy("cusip", "ns").agg(*(F.first(F.when(F.col("side") == side, F.col(c)), ignorenulls=True).alias(f"{prefix}{side}_{c}") for side in ("bid", "ask") for c in SIDE_FEATURES))
-    pairs = pair_features(pair_snapshots(events, queries, age_min=age_min, sync_min=sync_min, exact=exact)).select("cusip", "ns", *(F.col(c).alias(prefix + c) for c in PAIR_FEATURES))
+    pairs = pair_features(snapshots_of(states, age_min=age_min, sync_min=sync_min)).select("cusip", "ns", *(F.col(c).alias(prefix + c) for c in PAIR_FEATURES))
     out = queries.join(wide, ["cusip", "ns"], "left").join(pairs, ["cusip", "ns"], "left")
     counts = [f"{prefix}{side}_{c}" for side in ("bid", "ask") for c in COUNTS] + [prefix + c for c in PAIR_COUNTS]
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in counts})

@@ -40,7 +40,12 @@ def pair_snapshots(events: DataFrame, queries: DataFrame, *, age_min: float = AG
 
     Both sides meet in one aggregate instead of a full outer join, as they come from the
     same as-of pass."""
-    s = asof(events.filter("side in ('bid', 'ask')"), queries, STATE, exact=exact)
+    return snapshots_of(asof(events.filter("side in ('bid', 'ask')"), queries, STATE, exact=exact), age_min=age_min, sync_min=sync_min)
+
+
+def snapshots_of(states: DataFrame, *, age_min: float = AGE_MIN, sync_min: float = SYNC_MIN) -> DataFrame:
+    """``pair_snapshots`` of the states (at least ``STATE``) of an as-of pass."""
+    s = states
     take = lambda side: F.max(F.when(F.col("side") == side, F.struct("event_ns", "age_min", *STATE))).alias(side)
     p = s.groupBy("cusip", "ns", "day", "firm").agg(take("bid"), take("ask"))
     b, a = F.col("bid"), F.col("ask")

@@ -25,7 +25,12 @@ STATE = ["complete", "center", "lo", "hi", "gap", "candidate_count", "spread_set
 
 def slots(events: DataFrame, queries: DataFrame, *, exact: bool = True) -> DataFrame:
     """Latest state of every dealer and side at every query time of its bond, same day."""
-    s = asof(events.filter("side in ('bid', 'ask')"), queries, STATE, exact=exact)
+    return slots_of(asof(events.filter("side in ('bid', 'ask')"), queries, STATE, exact=exact))
+
+
+def slots_of(states: DataFrame) -> DataFrame:
+    """``slots`` of the states (at least ``STATE``) of an as-of pass."""
+    s = states
     n = F.size("spread_set")
     return s.withColumns(
         {

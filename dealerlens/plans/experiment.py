@@ -84,18 +84,24 @@ def check_comparison(frame: DataFrame, stage: str, least_train: int = 20) -> Non
         raise ValueError("quotes are missing in training or evaluation")
 
 
-def fit_predict(frame: DataFrame, version: str, *, stage: str = "Validation", trees: int = 40, depth: int = 5, seed: int = 2026) -> DataFrame:
+def _number(name: str) -> Column:
+    x = F.col(name).cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), -1e9).otherwise(F.coalesce(x, F.lit(-1e9)))
+
+
+def fit_predict(frame: DataFrame, version: str, *, stage: str = "Validation", trees: int = 40, depth: int = 5, seed: int = 2026, added: list[str] | tuple[str, ...] = (), name: str | None = None) -> DataFrame:
     """Gradient-boosted trees on the change from the previous spread, absolute loss;
     (row_id, ns, day, model, stage, pred, truth, error_bps).  Categories are learned from
-    Train alone; others count as missing, as missing numbers do at -1e9."""
+    Train alone; others count as missing, as missing and endless numbers do at -1e9.  Columns ``added``
+    come beside the version's, under the model ``name``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    columns = version_columns(version)
+    columns = version_columns(version) | {c: F.col(c) for c in added}
     numbers = [n for n in columns if n not in BASE_CATEGORIES]
     x = frame.select("row_id", "ns", "day", "split", F.col("bm_spread").alias("truth"), "prev_bm_spread", *(c.alias(f"x_{n}") for n, c in columns.items()))
-    x = x.withColumns({f"x_{n}": F.coalesce(F.col(f"x_{n}").cast("double"), F.lit(-1e9)) for n in numbers}).withColumns({f"x_{n}": F.coalesce(F.col(f"x_{n}"), F.lit("?")) for n in BASE_CATEGORIES})
+    x = x.withColumns({f"x_{n}": _number(f"x_{n}") for n in numbers}).withColumns({f"x_{n}": F.coalesce(F.col(f"x_{n}"), F.lit("?")) for n in BASE_CATEGORIES})
     x = x.withColumn("target", F.col("truth") - F.col("prev_bm_spread")).filter("target is not null")
     steps = [
         StringIndexer(inputCols=[f"x_{n}" for n in BASE_CATEGORIES], outputCols=[f"c_{n}" for n in BASE_CATEGORIES], handleInvalid="keep", stringOrderType="alphabetAsc"),
@@ -104,7 +110,7 @@ def fit_predict(frame: DataFrame, version: str, *, stage: str = "Validation", tr
     ]
     fitted = Pipeline(stages=steps).fit(x.filter("split = 'Train'"))
     p = fitted.transform(x.filter(F.col("split") == stage)).withColumn("pred", F.col("prev_bm_spread") + F.col("prediction"))
-    return p.select("row_id", "ns", "day", F.lit(version).alias("model"), F.lit(stage).alias("stage"), "pred", "truth", ((F.col("pred") - F.col("truth")) * 100).alias("error_bps"))
+    return p.select("row_id", "ns", "day", F.lit(name or version).alias("model"), F.lit(stage).alias("stage"), "pred", "truth", ((F.col("pred") - F.col("truth")) * 100).alias("error_bps"))
 
 
 def run_comparison(frame: DataFrame, versions: list[str], *, stage: str = "Validation", **options) -> DataFrame:

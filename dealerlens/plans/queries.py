@@ -505,4 +505,8 @@ def content_key(spark, d):
 @register("model_fit")
 def model_fit(spark, d):
     f = _frame(spark, d).cache()
-    return diagnostics.model_ranking(experiment.run_comparison(f, ["Base", "Age decay"], trees=5, depth=3))
+    try:  # the ranking has a row for each version
+        x = diagnostics.model_ranking(experiment.run_comparison(f, experiment.VERSIONS, trees=5, depth=3))
+        return spark.createDataFrame(x.collect(), x.schema)
+    finally:
+        f.unpersist()

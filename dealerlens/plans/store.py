@@ -65,6 +65,25 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads("".join(r["value"] for r in spark.read.text(path).collect()))
 
 
+def _numbers(spark: SparkSession, root: str) -> list[int]:
+    fs, p = _fs(spark, root)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(x) for x in names if x.isdigit() and exists(spark, f"{root}/{x}/_SUCCESS"))
+
+
+def publish(spark: SparkSession, root: str, entries: dict) -> None:
+    """Makes ``entries`` the latest of ``root``: a folder of the next number, which is seen when whole.  Of two
+    writers of one number the second fails."""
+    _write_manifest(spark, f"{root}/{(_numbers(spark, root) or [0])[-1] + 1}", entries)
+
+
+def latest(spark: SparkSession, root: str) -> dict:
+    numbers = _numbers(spark, root)
+    if not numbers:
+        raise FileNotFoundError(root)
+    return read_manifest(spark, f"{root}/{numbers[-1]}")
+
+
 def save_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame], meta: dict | None = None) -> str:
     """Writes the tables to a new folder with checksums; the manifest comes last.  Returns
     the snapshot's name."""
@@ -90,18 +109,15 @@ def load_table(spark: SparkSession, root: str, name: str, table: str) -> DataFra
 
 
 def cached(spark: SparkSession, root: str, source: DataFrame, build) -> DataFrame:
-    """``build(source)`` from the cache that the source's content names; anything wrong with
-    the entry means a rebuild under a new name."""
+    """``build(source)`` from the cache that the source's content names.  If the entry cannot be read, for whatever
+    reason, it is built under a new name and the old one stays: a passing error costs a rebuild, no data."""
     key = digest(source)
     pointer = f"{root}/{key}"
-    if exists(spark, f"{pointer}/_SUCCESS"):
-        try:
-            return load_table(spark, root, read_manifest(spark, pointer)["snapshot"], "events")
-        except Exception:  # noqa: BLE001 - a damaged entry of any kind is rebuilt
-            fs, p = _fs(spark, pointer)
-            fs.delete(p, True)
-    name = save_snapshot(spark, root, {"events": build(source)}, {"source": key})
-    _write_manifest(spark, pointer, {"snapshot": name})
+    try:
+        return load_table(spark, root, latest(spark, pointer)["snapshot"], "events")
+    except Exception:  # noqa: BLE001 - nothing is deleted, so any error may mean a rebuild
+        name = save_snapshot(spark, root, {"events": build(source)}, {"source": key})
+    publish(spark, pointer, {"snapshot": name})
     return load_table(spark, root, name, "events")
 
 
@@ -112,13 +128,18 @@ class Ledger:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
-    def run(self, request: dict, build) -> DataFrame:
+    def run(self, request: dict, build, key: str | None = None) -> DataFrame:
+        """``key`` names what may be run once; by default that is the request itself.  Another request under
+        a key that was run is refused."""
         import hashlib
 
-        key = hashlib.sha256(json.dumps(request, sort_keys=True).encode()).hexdigest()
+        key = key or hashlib.sha256(json.dumps(request, sort_keys=True).encode()).hexdigest()
         begun, done = f"{self.root}/{key}.begun", f"{self.root}/{key}.done"
         if exists(self.spark, done):
-            return load_table(self.spark, self.root, read_manifest(self.spark, done)["snapshot"], "result")
+            name = read_manifest(self.spark, done)["snapshot"]
+            if read_manifest(self.spark, f"{self.root}/{name}/manifest")["meta"] != json.loads(json.dumps(request)):
+                raise ValueError("this was run by another request")
+            return load_table(self.spark, self.root, name, "result")
         if exists(self.spark, begun):
             raise RuntimeError("an earlier attempt of this request did not end")
         _write_manifest(self.spark, begun, request)

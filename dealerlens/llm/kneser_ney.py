@@ -5,7 +5,8 @@ own texts in NumPy and ships sorted arrays, one per hash or id range; a range's
 are merged in one task, and ranges are as many as the data need.  The model is a
 set of sorted arrays per range: word hashes with counts, continuation counts and context
 statistics, and pairs (id of the history, id of the word) with counts.  It is written as a
-Parquet table to the shared folder.  A worker unpacks ranges once per machine into flat files
+Parquet table to the shared folder, some ``KEYS_PER_ROW`` keys a row, so that no JVM holds a
+whole range.  A worker unpacks ranges once per machine into flat files
 and memory-maps them; texts are scored by binary search, and nothing of the model passes
 through the driver but a handful of totals.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import fcntl
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import doc_key_bucket, fresh_path, lean, table
+from ._util import doc_key_bucket, fresh_path, lean, small_batches, table
 
 END = xxhash.xxh3_64_intdigest(b" end")  # no word holds a space
 START_ID = 0  # the history of a first word; word ids start at 1
 TOKENS_PER_RANGE = 4_000_000
 BATCH_TOKENS = 2_000_000
+KEYS_PER_ROW = 1 << 17
+BATCH_BYTES = 4 << 20
+STEP = 1 << 18  # items for which intermediate arrays are made at a time
 FOLDS, HELD_OUT = 7, 2
 
 
@@ -62,28 +66,62 @@ def token_hashes(text: str | None) -> np.ndarray:
     return out
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their summed counts."""
-    if not len(keys):
-        return keys, counts
+def _joined(held: list[np.ndarray]) -> np.ndarray:
+    """One array of all; ``held`` is emptied, so that they are not kept twice."""
+    out = np.concatenate(held)
+    held.clear()
+    return out
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys change."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+
+
+def _distinct(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs; ``held`` is emptied."""
+    keys = _joined(held)
+    keys.sort()
+    first = _firsts(keys)
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts; ``held`` is emptied."""
+    keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+    held.clear()
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+    del order
+    first = _firsts(keys)
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64)
 
 
 def _by_range(keys: np.ndarray, counts: np.ndarray, ranges: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    order = np.argsort(ranges, kind="stable")
-    cuts = np.flatnonzero(np.diff(ranges[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            short = counts[part].max() < 256
-            yield int(ranges[part[0]]), keys[part].tobytes(), counts[part].astype(np.uint8 if short else np.uint32).tobytes()
+    """Keys are sorted, and ranges ascend with them."""
+    cuts = [0, *(np.flatnonzero(ranges[1:] != ranges[:-1]) + 1), len(keys)]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        if end > start:
+            part = counts[start:end]
+            yield int(ranges[start]), keys[start:end].tobytes(), part.astype(np.uint8 if part.max() < 256 else np.uint32).tobytes()
 
 
 def _blob_batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("range", "n") else pa.float64() if n == "x" else pa.binary()) for c, n in zip(columns, names, strict=True)], names=list(names))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("range", "part", "n") else pa.binary()) for c, n in zip(columns, names, strict=True)], names=list(names))
+
+
+def _blob_batches(rows: Iterable[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(range, keys, counts), some ``BATCH_BYTES`` at a time."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1]) + len(row[2])
+        if size >= BATCH_BYTES:
+            yield _blob_batch(held, ("range", "keys", "counts"))
+            held, size = [], 0
+    if held:
+        yield _blob_batch(held, ("range", "keys", "counts"))
 
 
 def _token_batches(batches: Iterator[pa.RecordBatch], folds: int, held_out: int) -> Iterator[list[np.ndarray]]:
@@ -101,35 +139,55 @@ def _token_batches(batches: Iterator[pa.RecordBatch], folds: int, held_out: int)
         yield held
 
 
+def _key_batches(batches: Iterator[pa.RecordBatch], keys_of: Callable[..., np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """``keys_of`` the rows, some ``BATCH_TOKENS`` keys at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append(keys_of(*row))
+            size += len(held[-1])
+            if size >= BATCH_TOKENS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _hash_range(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def _merge(rows: DataFrame, make) -> DataFrame:
-    """One row (range, n, a, b, c, d) of blobs per range, by ``make(keys, counts)``; a holds n
-    keys of 8 bytes."""
-    names = ("range", "n", "a", "b", "c", "d")
+def _merge(rows: DataFrame, make, shift: int = 0) -> DataFrame:
+    """Rows (range, part, n, a, b, c, d) of blobs by ``make(keys, counts)``, parts of a range in
+    the order of its keys; a holds n keys of 8 bytes.  Keys that differ in their last ``shift`` bits
+    only stay together."""
+    names, per_row = ("range", "part", "n", "a", "b", "c", "d"), KEYS_PER_ROW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-
-        def merged() -> pa.RecordBatch:
-            keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]).astype(np.int64))
-            blobs = make(keys, counts)
-            return _blob_batch([(now, len(blobs[0]) // 8, *blobs, *[None] * (4 - len(blobs)))], names)
+        now, held = None, []
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            keys, counts = _summed(held)
+            start = part = 0
+            while start < len(keys):
+                end = start + per_row
+                while end < len(keys) and keys[end] >> np.uint64(shift) == keys[end - 1] >> np.uint64(shift):
+                    end += 1
+                blobs = make(keys[start:end], counts[start:end])
+                yield _blob_batch([(now, part, len(blobs[0]) // 8, *blobs, *[None] * (4 - len(blobs)))], names)
+                start, part = end, part + 1
 
         for batch in batches:
             for number, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if number != now and parts:
-                    yield merged()
-                    parts = []
+                if number != now and held:
+                    yield from merged()
                 now = number
-                parts.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint8 if len(counts) * 8 == len(keys) else np.uint32)))
-        if parts:
-            yield merged()
+                held.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint8 if len(counts) * 8 == len(keys) else np.uint32)))
+        if held:
+            yield from merged()
 
     # One range at a time is held, however many a task reads.
-    return rows.repartition("range").sortWithinPartitions("range").mapInArrow(lean(run), "range long, n long, a binary, b binary, c binary, d binary")
+    return rows.repartition("range").sortWithinPartitions("range").mapInArrow(lean(run), "range long, part long, n long, a binary, b binary, c binary, d binary")
 
 
 def _counts_of_counts(counts: np.ndarray) -> bytes:
@@ -169,14 +227,18 @@ class Ranges:
     @staticmethod
     def _unpack(root: str, flat: str, kind: str, columns: dict[str, str]) -> None:
         files = sorted(os.path.join(root, f) for f in os.listdir(root) if f.endswith(".parquet"))
-        numbers = [(r, f, g) for f in files for g in range(pq.ParquetFile(f).num_row_groups) for r in pq.ParquetFile(f).read_row_group(g, columns=["range"])["range"].to_pylist()]
-        starts, out = [0], {c: open(os.path.join(flat, f"{kind}.{c}"), "wb") for c in columns}  # noqa: SIM115
-        for number, f, g in sorted(numbers):
-            rows = pq.ParquetFile(f).read_row_group(g, columns=["range", "n", *columns])
-            row = rows["range"].to_pylist().index(number)
-            starts.append(starts[-1] + rows["n"][row].as_py())
-            for c, file in out.items():
-                file.write(rows[c][row].as_py() or b"")
+        rows = [r for f in files for r in zip(*(c.to_pylist() for c in pq.read_table(f, columns=["range", "part", "n"]).columns), strict=True)]
+        order = sorted(range(len(rows)), key=rows.__getitem__)
+        starts = np.cumsum([0, *(rows[i][2] for i in order)])
+        place = np.empty(len(rows), np.int64)
+        place[order] = starts[:-1]
+        at, out = iter(place.tolist()), {c: open(os.path.join(flat, f"{kind}.{c}"), "wb") for c in columns}  # noqa: SIM115
+        for f in files:
+            for batch in pq.ParquetFile(f).iter_batches(8, columns=list(columns), use_threads=False):
+                for *blobs, start in zip(*(batch[c] for c in columns), at, strict=False):
+                    for (c, file), blob in zip(out.items(), blobs, strict=True):
+                        file.seek(start * np.dtype(columns[c]).itemsize)
+                        file.write(blob.as_py() or b"")
         for file in out.values():
             file.close()
         np.asarray(starts, np.int64).tofile(os.path.join(flat, f"{kind}.starts"))
@@ -203,7 +265,8 @@ def _publish(df: DataFrame, kind: str) -> str:
     """Writes a part of the model to the shared folder, for all workers."""
     spark = df.sparkSession
     place = fresh_path(spark, f"lm-{kind}")
-    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(place)
+    # Sizes are looked at after every row: the next reader takes a row group at a time.
+    df.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).option("parquet.page.size.row.check.min", 1).parquet(place)
     if not place.startswith(("file:", "/")):
         spark.sparkContext.addFile(place, recursive=True)
     return place
@@ -246,6 +309,35 @@ def _tokens_before(words: Ranges, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pair_keys(words: Ranges, held: list[np.ndarray]) -> np.ndarray:
+    """(history << 32) | word of every token; ``held`` is emptied."""
+    sizes = np.asarray([len(t) for t in held])
+    flat = _joined(held)
+    distinct = np.unique(flat)
+    ids = (words.find(distinct) + 1).astype(np.uint32)
+    token = np.empty(len(flat), np.uint32)
+    for at in range(0, len(flat), STEP):
+        token[at : at + STEP] = ids[np.searchsorted(distinct, flat[at : at + STEP])]
+    del flat, distinct, ids
+    keys = np.empty(len(token), np.uint64)
+    keys[1:] = token[:-1]
+    keys[np.cumsum(sizes) - sizes] = START_ID
+    keys <<= np.uint64(32)
+    keys |= token
+    return keys
+
+
+def _pair_ranges(words: Ranges, keys: np.ndarray, per_range: int) -> np.ndarray:
+    """Ranges of about equal numbers of tokens, in key order: a frequent history is spread over
+    several of them by the word."""
+    out = np.empty(len(keys), np.int64)
+    for at in range(0, len(keys), STEP):
+        part = keys[at : at + STEP]
+        h, w = part >> np.uint64(32), (part & np.uint64(2**32 - 1)).astype(np.int64)
+        out[at : at + STEP] = (_tokens_before(words, h) + _count_of_history(words, h) * (w / (len(words.keys) + 2))).astype(np.int64) // per_range
+    return out
+
+
 class BigramModel:
     """Places and totals of a trained model; small, and sent to every task."""
 
@@ -300,20 +392,25 @@ class BigramModel:
 
 def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text") -> BigramModel:
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        return _train(texts, folds, held_out)
+
+
+def _train(texts: DataFrame, folds: int, held_out: int) -> BigramModel:
     # Ranges follow the input: about one per TOKENS_PER_RANGE tokens of about 6 characters.
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, chars // (6 * TOKENS_PER_RANGE))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _token_batches(batches, folds, held_out):
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            yield _blob_batch(list(_by_range(keys, counts, _hash_range(keys, ranges))), ("range", "keys", "counts"))
+            keys, counts = _distinct(held)
+            yield from _blob_batches(_by_range(keys, counts, _hash_range(keys, ranges)))
 
     blobs = "range long, keys binary, counts binary"
     model = BigramModel()
     model.words = _publish(_merge(texts.mapInArrow(lean(count_words, "kneser_ney:_words"), blobs), lambda k, c: (k.tobytes(), c.astype(np.int64).tobytes(), np.int64(c.sum()).tobytes(), (np.cumsum(c) - c).astype(np.int64).tobytes())), "words")
-    spark = docs.sparkSession
-    # One short row per range.
+    spark = texts.sparkSession
+    # Short rows, one per KEYS_PER_ROW words.
     totals = spark.read.parquet(model.words).select("n", "c").rdd.map(lambda r: (r[0], int(np.frombuffer(r[1], np.int64)[0]))).fold((0, 0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
     model.types, model.tokens = totals
     if model.types >= 2**32 - 2:
@@ -324,19 +421,8 @@ def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_c
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _opened(words_at, "words", WORD_COLUMNS)
         for held in _token_batches(batches, folds, held_out):
-            flat = np.concatenate(held)
-            distinct, number = np.unique(flat, return_inverse=True)
-            token = (words.find(distinct) + 1).astype(np.uint64)[number]
-            history = np.empty_like(token)
-            history[1:] = token[:-1]
-            sizes = np.asarray([len(t) for t in held])
-            history[np.cumsum(sizes) - sizes] = START_ID
-            keys, counts = np.unique((history << np.uint64(32)) | token, return_counts=True)
-            # Ranges of about equal numbers of tokens, in key order: a frequent history is
-            # spread over several of them by the word.
-            h, w = keys >> np.uint64(32), (keys & np.uint64(2**32 - 1)).astype(np.int64)
-            deal = (_tokens_before(words, h) + _count_of_history(words, h) * (w / (len(words.keys) + 2))).astype(np.int64) // per_range
-            yield _blob_batch(list(_by_range(keys, counts, deal)), ("range", "keys", "counts"))
+            keys, counts = _distinct([_pair_keys(words, held)])
+            yield from _blob_batches(_by_range(keys, counts, _pair_ranges(words, keys, per_range)))
 
     def make_pairs(keys: np.ndarray, counts: np.ndarray) -> tuple:
         return keys.tobytes(), counts.astype(np.int64).tobytes(), _counts_of_counts(counts)
@@ -348,11 +434,14 @@ def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_c
 
     def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many pairs of each history were seen once, twice, more often."""
-        for batch in batches:
-            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                classes = np.minimum(np.frombuffer(b, np.int64), 3).astype(np.uint64)
-                keys, counts = np.unique(((np.frombuffer(a, np.uint64) >> np.uint64(32)) << np.uint64(2)) | classes, return_counts=True)
-                yield _blob_batch(list(_by_range(keys, counts, (keys >> np.uint64(2)).astype(np.int64) // span)), ("range", "keys", "counts"))
+
+        def history_and_class(a: bytes, b: bytes) -> np.ndarray:
+            classes = np.minimum(np.frombuffer(b, np.int64), 3).astype(np.uint64)
+            return ((np.frombuffer(a, np.uint64) >> np.uint64(32)) << np.uint64(2)) | classes
+
+        for held in _key_batches(batches, history_and_class):
+            keys, counts = _distinct(held)
+            yield from _blob_batches(_by_range(keys, counts, (keys >> np.uint64(2)).astype(np.int64) // span))
 
     def make_contexts(keys: np.ndarray, counts: np.ndarray) -> tuple:
         """Histories and the mass that discounting takes from their pairs."""
@@ -361,15 +450,14 @@ def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_c
         mass = np.add.reduceat(counts * np.asarray([0.0, *d])[(keys & np.uint64(3)).astype(np.int64)], first)
         return history[first].tobytes(), mass.astype(np.float64).tobytes()
 
-    model.contexts = _publish(_merge(pairs.select("a", "b").mapInArrow(count_contexts, blobs), make_contexts), "contexts")
+    model.contexts = _publish(_merge(pairs.select("a", "b").mapInArrow(lean(count_contexts), blobs), make_contexts, shift=2), "contexts")
 
     def continue_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in batch.column(0).to_pylist():
-                keys, counts = np.unique(np.frombuffer(a, np.uint64) & np.uint64(2**32 - 1), return_counts=True)
-                yield _blob_batch(list(_by_range(keys, counts, keys.astype(np.int64) // span)), ("range", "keys", "counts"))
+        for held in _key_batches(batches, lambda a: np.frombuffer(a, np.uint64) & np.uint64(2**32 - 1)):
+            keys, counts = _distinct(held)
+            yield from _blob_batches(_by_range(keys, counts, keys.astype(np.int64) // span))
 
-    model.continued = _publish(_merge(pairs.select("a").mapInArrow(continue_words, blobs), make_pairs), "continued")
+    model.continued = _publish(_merge(pairs.select("a").mapInArrow(lean(continue_words), blobs), make_pairs), "continued")
     _, found = _sums(spark.read.parquet(model.continued))
     model.continued_discounts = discounts(found)
     if model.pair_types:
@@ -379,7 +467,7 @@ def train(docs: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, id_c
 
 
 def _sums(parts: DataFrame) -> tuple[int, np.ndarray]:
-    """Items and counts of counts over all ranges: one short row per range."""
+    """Items and counts of counts over all ranges: short rows, one per KEYS_PER_ROW items."""
     pick = parts.select("n", "c").rdd.map(lambda r: (r[0], np.frombuffer(r[1], np.int64)))
     return pick.fold((0, np.zeros(6, np.int64)), lambda a, b: (a[0] + b[0], a[1] + b[1]))
 

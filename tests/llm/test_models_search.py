@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -177,6 +178,48 @@ def test_kneser_ney_against_plain_python(spark, monkeypatch, per_range):
         assert row.score == pytest.approx(sum(math.log10(p(x, w)) for x, w in zip(["<s>", *t[:-1]], t, strict=True)), rel=1e-6)
 
 
+def test_language_model_rows_hold_few_keys(spark, monkeypatch):
+    r = random.Random(9)
+    docs = documents(spark, [" ".join(f"w{int(r.paretovariate(1))}" for _ in range(r.randrange(60))) for _ in range(60)] + odd_texts())
+    whole = kneser_ney.score(docs, kneser_ney.train(docs)).orderBy("doc_id").collect()
+    monkeypatch.setattr(kneser_ney, "KEYS_PER_ROW", 3, raising=False)
+    model = kneser_ney.train(docs)
+    for place in (model.words, model.pairs, model.contexts, model.continued):
+        sizes = [(x.n, len(x.a)) for x in spark.read.parquet(place).select("n", "a").collect()]
+        assert max(sizes) == (3, 24) and len(sizes) > 3
+        keys = np.concatenate([np.frombuffer(x.a, np.uint64) for x in spark.read.parquet(place).select("a").collect()])
+        assert len(np.unique(keys)) == len(keys)  # a history's statistics are never cut in two
+    assert kneser_ney.score(docs, model).orderBy("doc_id").collect() == [pytest.approx(row) for row in whole]
+
+
+def test_counting_pairs_holds_few_bytes_a_token():
+    r = np.random.default_rng(1)
+    vocabulary = np.unique(r.integers(0, 2**63, 50_000).astype(np.uint64))
+    words = kneser_ney.Ranges.__new__(kneser_ney.Ranges)
+    counts = np.full(len(vocabulary), 20)
+    words.keys, words.starts = vocabulary, np.asarray([0, len(vocabulary)])
+    words.columns = {"a": vocabulary, "b": counts, "d": np.cumsum(counts) - counts}
+    held = [r.choice(vocabulary, 1000) for _ in range(500)]
+    number = {int(w): i for i, w in enumerate(vocabulary, start=1)}
+    expected = Counter(x for t in held for x in zip([0, *map(number.get, t[:-1].tolist())], map(number.get, t.tolist()), strict=True))
+    got, ranges = Counter(), []
+    tracemalloc.start()
+    try:
+        keys, times = kneser_ney._distinct([kneser_ney._pair_keys(words, held)])
+        batches = kneser_ney._blob_batches(kneser_ney._by_range(keys, times, kneser_ney._pair_ranges(words, keys, 100_000)))
+        for batch in batches:
+            assert batch.nbytes < 3 * kneser_ney.BATCH_BYTES
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert not held and peak < 100 * 500_000  # 130 bytes a token before
+    for number, k, c in kneser_ney._by_range(keys, times, kneser_ney._pair_ranges(words, keys, 100_000)):
+        k = np.frombuffer(k, np.uint64)
+        ranges.append(number)
+        got.update(dict(zip(zip((k >> np.uint64(32)).tolist(), (k & np.uint64(2**32 - 1)).tolist(), strict=True), np.frombuffer(c, np.uint8).tolist(), strict=True)))
+    assert got == expected and ranges == sorted(set(ranges)) and len(ranges) > 3
+
+
 def test_language_model_without_training_rows(spark):
     empty = documents(spark, [])
     model = kneser_ney.train(empty)

@@ -43,7 +43,7 @@ TOKENS_PER_RANGE = 4_000_000
 BATCH_TOKENS = 2_000_000
 KEYS_PER_ROW = 1 << 17
 BATCH_BYTES = 4 << 20
-STEP = 1 << 18  # items for which intermediate arrays are made at a time
+STEP = 1 << 18  # items for which intermediate arrays are made at a time, and tokens scored at a time
 FOLDS, HELD_OUT = 7, 2
 
 
@@ -350,9 +350,9 @@ class BigramModel:
     lower_share = 1.0  # of the continuation distribution that goes to the uniform one
 
     def score(self, texts: list[np.ndarray]) -> tuple[list, list, list, list]:
-        """(n_tokens, n_known, base_score, score) for each text's token hashes."""
+        """(n_tokens, n_known, base_score, score) for each text's token hashes; ``texts`` is emptied."""
         sizes = np.asarray([len(t) for t in texts])
-        flat = np.concatenate(texts)
+        flat = _joined(texts)
         words = _opened(self.words, "words", WORD_COLUMNS)
         distinct, number = np.unique(flat, return_inverse=True)
         at = words.find(distinct)
@@ -476,13 +476,19 @@ def score(docs: DataFrame, model: BigramModel, *, folds: int = FOLDS, held_out:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    names = [x.split()[0] for x in schema.split(", ")]
+    names, step = [x.split()[0] for x in schema.split(", ")], STEP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                sizes, known, base, own = model.score([token_hashes(t.as_py()) for t in batch.column(1)])
+            start, held, size = 0, [], 0
+            for end, text in enumerate(whole.column(1), start=1):
+                held.append(token_hashes(text.as_py()))
+                size += len(held[-1])
+                if size < step and end < whole.num_rows:
+                    continue
+                batch = whole.slice(start, end - start)
+                sizes, known, base, own = model.score(held)
+                start, held, size = end, [], 0
                 fold = [doc_key_bucket(k, folds) == held_out for k in batch.column(0).to_pylist()]
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fold), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array([model.tokens] * n, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=names)
